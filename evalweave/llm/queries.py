@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalweave.functions.keys import plain_pmcid
 from evalweave.llm.bpe import token_count, token_ids
 from evalweave.llm.charforms import inconsistent_values
 from evalweave.llm.mixing import Blend
 from evalweave.llm.overlap import cross_split_overlaps
+from evalweave.llm.residue import with_residue
+from evalweave.llm.truncation import cut_off_share, scored
 from evalweave.session import table
 
 
@@ -21,6 +24,19 @@ def p3_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_found(spark, sf_dir).groupBy("section_name", "field_name").agg(F.count(F.lit(1)).alias("n_values"), F.count_distinct("gt_id").alias("n_records"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "extraction_results"), "extraction_id", "raw_model_output", ["model_id"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("cut_off").select("extraction_id").distinct()
+
+
+def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each model's outputs were cut off."""
+    return cut_off_share(_scored(spark, sf_dir), "model_id")
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split_overlaps(*(table(spark, sf_dir, t) for t in ("record_results", "gepa_experiments", "split_catalog", "documents")))
 
@@ -34,17 +50,11 @@ def p5_by_split_and_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluated articles that overlap with training, per split and source of their text."""
     found = _overlaps(spark, sf_dir).groupBy("split_name", F.col("eval_pmcid").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     documents = table(spark, sf_dir, "documents").where("doc_type = 'article'")
-    sources = documents.select(_plain("pmcid").alias("k"), "source").where("k is not null").groupBy("k").agg(F.min("source").alias("source"))
+    sources = documents.select(plain_pmcid(F.col("pmcid")).alias("k"), "source").where("k is not null").groupBy("k").agg(F.min("source").alias("source"))
     joined = found.join(sources, "k", "left")
     return joined.groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("n_articles"), F.sum("n").alias("n_overlaps"))
 
 
-def _plain(name: str):
-    from evalweave.functions.keys import plain_pmcid
-
-    return plain_pmcid(F.col(name))
-
-
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", token_ids(F.col("text")).alias("ids"))
 
@@ -67,6 +77,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blend(spark, sf_dir).shares()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_by_field, p5_found, p5_by_split_and_source, p7_ids, p7_counts, p8_blend, p8_shares)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_residue(table(spark, sf_dir, "documents").select("doc_id", "text")).where("residue is not null").select("doc_id")
+
+
+def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents left out of the corpus, by source and kind of residue."""
+    found = with_residue(table(spark, sf_dir, "documents").select("source", "text")).where("residue is not null")
+    return found.groupBy("source", "residue").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus that is left: all columns of the documents that hold no residue."""
+    return with_residue(table(spark, sf_dir, "documents")).where("residue is null").drop("residue")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_by_field, p4_found, p4_share, p5_found, p5_by_split_and_source, p7_ids, p7_counts, p8_blend, p8_shares, p9_found, p9_by_source, p9_corpus)
+}
 
 ORACLE: dict[str, str] = {}
