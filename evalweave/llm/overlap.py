@@ -4,14 +4,15 @@ Method: an exact prefix-filter bipartite join on rare shingles. The shingles of
 a text are ordered from rare to frequent; of two texts with Jaccard similarity
 t or more, the first shingle they share lies within the first
 n - ceil(t * n) + 1 of both. So only those prefixes are joined, evaluation side
-against training side, with length and position filters, and what remains is
-verified on the whole shingle sets.
+against training side, with length and position filters. Prefixes are longer by a few shingles
+than that, and as many common ones are asked for, which leaves hardly any pair
+that isn't one; those are verified on the whole shingle sets.
 
 Any order of shingles is exact; a good one is only faster. The order comes from
 a sketch of counts of fixed size (``sketch_bits``), which grows with nothing and
 may be broadcast. A shingle that the sketch proves to occur once can't be shared
 and leaves the prefix. Texts with equal shingle sets are one class and are
-joined once. All hashes of shingles are 64 bits wide.
+joined once. All hashes, of shingles and of sets, are 64 bits wide.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from evalweave.session import checkpointed
 SKETCH_BITS = 24
 _SLICE = 1 << 16
 _FAN = 64
+#: Common shingles asked for in the prefixes.
+_COMMON = 4
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _REMEMBERED = 300_000
 
@@ -69,42 +72,44 @@ def _buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _signature(hashes: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(hashes.tobytes()), np.uint64).view(np.int64))
+
+
 def _scan(texts: DataFrame, width: int, bits: int) -> DataFrame:
-    """Per text its size and two hashes of its shingle set; per partition its sketch, in slices."""
-    schema = pa.schema(
-        [("id", pa.string()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())]
-    )
+    """Per text the hash of its shingle set; per partition its sketch, in slices."""
+    schema = pa.schema([("id", pa.string()), ("class", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
+
+    def rows(ids=(), classes=(), slices=(), part=0, blobs=()):
+        k, m = len(ids), len(slices)
+        columns = [pa.array(ids or [None] * m, pa.string()), pa.array(classes or [None] * m, pa.int64())]
+        columns += [pa.array(slices or [None] * k, pa.int32()), pa.array([part] * (k or m), pa.int32()), pa.array(blobs or [None] * k, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        shingler, counts, any_text = Shingler(width), np.zeros(1 << bits, np.uint8), False
+        shingler, counts = Shingler(width), None
         for batch in batches:
-            ids, ns, s1, s2, sets = [], [], [], [], []
+            ids, classes, sets = [], [], []
             for key, text in zip(batch.column(0), batch.column(1)):
                 h = shingler.hashes(text.as_py())
                 if len(h):
-                    digest = xxhash.xxh3_128_digest(h.tobytes())
                     ids.append(key.as_py())
-                    ns.append(len(h))
-                    s1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    s2.append(int.from_bytes(digest[8:], "little", signed=True))
+                    classes.append(_signature(h))
                     sets.append(h)
             if sets:
-                any_text = True
+                counts = np.zeros(1 << bits, np.uint8) if counts is None else counts
                 at, c = np.unique(_buckets(np.concatenate(sets), bits), return_counts=True)
                 counts[at] = np.minimum(counts[at].astype(np.int64) + c, 255)
-                k = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ns, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), *(pa.nulls(k, t) for t in (pa.int32(), pa.int32(), pa.binary()))], schema=schema)
-        if any_text:
+                yield rows(ids, classes, part=part)
+        if counts is not None:
             slices = counts.reshape(-1, min(_SLICE, 1 << bits))
             used = [k for k in range(len(slices)) if slices[k].any()]
-            blobs = [zlib.compress(slices[k].tobytes(), 1) for k in used]
-            k = len(used)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in (pa.string(), pa.int32(), pa.int64(), pa.int64())), pa.array(used, pa.int32()), pa.array([part] * k, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+            yield rows(slices=used, part=part, blobs=[zlib.compress(slices[k].tobytes(), 1) for k in used])
 
-    return texts.mapInArrow(run, "id string, n int, s1 bigint, s2 bigint, slice int, part int, blob binary")
+    return texts.select("id", "text").mapInArrow(run, "id string, class bigint, slice int, part int, blob binary")
 
 
 def _merge(slices: DataFrame, n_parts: int) -> DataFrame:
@@ -141,32 +146,40 @@ def _rank(slices: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, width: int, bits: int, threshold: float, ranks: np.ndarray) -> DataFrame:
-    """Per text its size and the places and hashes of its prefix that may be shared."""
+    """Shingles of the prefix that may be shared, per text.
+
+    Columns: h (shingle), class, packed: the set's size, the shingle's place and
+    the text's sides in 31, 31 and 2 bits.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(ranks)  # 2^bits bytes
-    schema = pa.schema([("id", pa.string()), ("n", pa.int32()), ("prefix", pa.list_(pa.struct([("i", pa.int32()), ("h", pa.int64())])))])
+    schema = pa.schema([("class", pa.int64()), ("h", pa.list_(pa.int64())), ("packed", pa.list_(pa.int64()))])
 
     def run(batches):
-        shingler, rank = Shingler(width), shared.value
+        shingler, rank, seen = Shingler(width), shared.value, set()
         for batch in batches:
-            ids, ns, places, hashes, offsets = [], [], [], [], [0]
-            for key, text in zip(batch.column(0), batch.column(1)):
+            classes, hashes, packed, offsets = [], [], [], [0]
+            for text, side in zip(batch.column(0), batch.column(1)):
                 h = shingler.hashes(text.as_py())
-                if not len(h):
+                once = (_signature(h), side.as_py())
+                if not len(h) or once in seen:  # a copy's prefix is its class's prefix
                     continue
+                if len(seen) > _REMEMBERED:
+                    seen.clear()
+                seen.add(once)
                 r = rank[_buckets(h, bits)]
-                order = np.lexsort((h, r))[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
+                order = np.lexsort((h, r))[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + _COMMON]
                 keep = np.flatnonzero(r[order] != 1)
                 if len(keep):
-                    ids.append(key.as_py())
-                    ns.append(len(h))
-                    places.append(keep.astype(np.int32))
+                    classes.append(once[0])
                     hashes.append(h[order[keep]])
+                    packed.append((np.int64(len(h)) << np.int64(33)) | (keep.astype(np.int64) << np.int64(2)) | np.int64(once[1]))
                     offsets.append(offsets[-1] + len(keep))
-            if ids:
-                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))], ["i", "h"])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], schema=schema)
+            if classes:
+                at = pa.array(offsets, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), *(pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (hashes, packed))], schema=schema)
 
-    return texts.mapInArrow(run, "id string, n int, prefix array<struct<i:int,h:bigint>>")
+    found = texts.select("text", "side").mapInArrow(run, "class bigint, h array<bigint>, packed array<bigint>")
+    return found.select("class", "packed", F.posexplode("h").alias("k", "h")).select("h", "class", F.expr("packed[k]").alias("packed"))
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -194,25 +207,34 @@ def near_same(texts: DataFrame, sides: DataFrame, threshold: float = 0.8, width:
     which has a member on the left and the other one on the right; class_a =
     class_b where a class holds more than one text.
     """
-    scanned = checkpointed(_scan(texts.select("id", "text"), width, sketch_bits))
+    left = bloom_filter(sides.where("left"), "id")
+    right = bloom_filter(sides.where("right"), "id")
+    marked = with_might_contain(with_might_contain(texts.select("id", "text"), "id", left, "_l"), "id", right, "_r")
+    # a text that the filters pass by mistake is dropped when classes are joined to their sides
+    texts = marked.where("_l or _r").select("id", "text", (F.col("_l").cast("int") + F.col("_r").cast("int") * 2).alias("side"))
+
+    scanned = checkpointed(_scan(texts, width, sketch_bits))
     parts = max(1, scanned.rdd.getNumPartitions())
     ranks = _rank(_merge(scanned.where("slice is not null").select("slice", "part", "blob"), parts), sketch_bits)
-
-    sized = scanned.where("slice is null").select("id", "n", "s1", "s2").join(sides, "id")
-    classes = sized.groupBy("s1", "s2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("k"), F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
+    sized = scanned.where("slice is null").select("id", "class").join(sides, "id")
+    classes = sized.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("k"), F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
     classes = checkpointed(classes)
-    members = sized.join(classes.select("s1", "s2", "class_id"), ["s1", "s2"]).select("id", "class_id")
+    members = sized.join(classes.select("class", "class_id"), "class").select("id", "class_id")
 
-    prefixes = _prefixes(texts.select("id", "text"), width, sketch_bits, threshold, ranks)
-    heads = classes.select(F.col("class_id").alias("id"), "left", "right")
-    rows = prefixes.join(heads.hint("shuffle_hash"), "id").select("id", "n", "left", "right", F.inline("prefix"))
-    index = rows.where("left").select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    probe = rows.where("right").select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    # copies of a set meet in their task before the shuffle, and the rest after it
+    rows = _prefixes(texts, width, sketch_bits, threshold, ranks).repartition("h").groupBy("h", "class").agg(F.bit_or("packed").alias("packed"))
+    rows = rows.select("h", "class", F.expr("cast(packed >> 33 as int)").alias("n"), F.expr("cast((packed >> 2) & 2147483647 as int)").alias("i"), F.expr("cast(packed & 3 as int)").alias("side"))
+    index = rows.where("side & 1 = 1").select("h", F.col("class").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    probe = rows.where("side & 2 = 2").select("h", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     need = F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # places count from 0
+    left_over = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # places count from 0
     fits = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    met = index.join(probe, "h").where((F.col("a") != F.col("b")) & fits & (most >= need))
-    candidates = checkpointed(met.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b")).distinct())
+    met = index.join(probe, "h").where((F.col("a") != F.col("b")) & fits & (left_over >= need - (_COMMON - 1)))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first(need).alias("need"))
+    likely = counted.where(F.col("common") >= F.least(F.lit(_COMMON), F.col("need"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda x: classes.select(F.col("class").alias(x), F.col("class_id").alias(f"class_{x}"), F.col("left").alias(f"l{x}"), F.col("right").alias(f"r{x}"))
+    named = likely.join(of("a"), "a").join(of("b"), "b").where("(la and rb) or (lb and ra)")
+    candidates = checkpointed(named.select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")))
 
     wanted = candidates.select(F.explode(F.array("class_a", "class_b")).alias("id"))
     sets = _sets(with_might_contain(texts.select("id", "text"), "id", bloom_filter(wanted, "id"), "_c").where("_c").drop("_c"), width)
