@@ -136,7 +136,7 @@ def character_issues(rows: DataFrame, text_col: str, *by: str) -> DataFrame:
     """How often each problem character occurs, and in how many texts; one pass, one row per character and group."""
     t = F.col(text_col)
     dims = problem_characters()
-    counted = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(f"U+{ord(c):04X}").alias("character"), (F.length(t) - F.length(F.translate(t, c, ""))).alias("n")) for kind, c, _ in dims])).alias("x"))
+    counted = rows.where(t.rlike(r"[^\x00-\x7F]")).select(*by, F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(f"U+{ord(c):04X}").alias("character"), (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).alias("n")) for kind, c, _ in dims])).alias("x"))
     return counted.select(*by, "x.*").where("n > 0").groupBy(*by, "kind", "character").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_texts"))
 
 

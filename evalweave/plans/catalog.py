@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evalweave.plans import problems
+from evalweave.plans import evaluation, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**problems.QUERIES, **evaluation.Q}
+ORACLE = {**problems.ORACLE, **evaluation.SQL}
 
 #: Run by the driver as a smoke check.
-FLAGSHIP = "p6_by_month"
+FLAGSHIP = "score_by_category"
