@@ -214,7 +214,7 @@ def near_same(texts: DataFrame, sides: DataFrame, threshold: float = 0.8, width:
     texts = marked.where("_l or _r").select("id", "text", (F.col("_l").cast("int") + F.col("_r").cast("int") * 2).alias("side"))
 
     scanned = checkpointed(_scan(texts, width, sketch_bits))
-    parts = max(1, scanned.rdd.getNumPartitions())
+    parts = 1 + (scanned.agg(F.max("part").alias("m")).first()["m"] or 0)
     ranks = _rank(_merge(scanned.where("slice is not null").select("slice", "part", "blob"), parts), sketch_bits)
     sized = scanned.where("slice is null").select("id", "class").join(sides, "id")
     classes = sized.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("k"), F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
