@@ -52,9 +52,14 @@ class Automaton:
         self.birth = [-1] * n
         self.barred: dict[int, dict[int, int]] = {}
         for rank, (u, v, uv) in enumerate(merges):
-            self.barred.setdefault(u, {}).setdefault(v, rank)
-            if self.birth[uv] < 0 and self.left[uv] == uv and len(labels[uv]) > 1:
+            if not self._free(u, v):  # v never follows u by now, so the merge never happens
+                if self.birth[uv] < 0:
+                    self.ids.pop(labels[uv], None)
+                continue
+            self.barred.setdefault(u, {})[v] = rank
+            if self.birth[uv] < 0:
                 self.left[uv], self.right[uv], self.birth[uv] = u, v, rank
+                self.ids[labels[uv]] = uv
         self.longest = max(map(len, labels), default=1)
         self._follows: dict[tuple[int, int], bool] = {}
         self._known: dict[str, list[int]] = {}
@@ -84,28 +89,29 @@ class Automaton:
         key = (a, b)
         known = self._follows.get(key)
         if known is None:
-            known, until_a, x = True, _FOREVER, a
-            while known:
-                barred = self.barred.get(x)
-                if barred:
-                    until, y = until_a, b
-                    while True:
-                        if barred.get(y, _FOREVER) < until:
-                            known = False
-                            break
-                        if self.left[y] == y:
-                            break
-                        until = min(until, self.birth[y] + 1)  # of equal pairs, the left one merges first
-                        y = self.left[y]
-                if self.right[x] == x:
-                    break
-                until_a = min(until_a, self.birth[x])
-                x = self.right[x]
             if len(self._follows) > 4 * REMEMBERED_WORDS:
                 self._follows.clear()
-            self._follows[key] = known
+            known = self._follows[key] = self._free(a, b)
         return known
 
+    def _free(self, a: int, b: int) -> bool:
+        until_a, x = _FOREVER, a
+        while True:
+            barred = self.barred.get(x)
+            if barred:
+                until, y = until_a, b
+                while barred.get(y, _FOREVER) >= until:
+                    if self.left[y] == y:
+                        break
+                    until = min(until, self.birth[y] + 1)  # of equal pairs, the left one merges first
+                    y = self.left[y]
+                else:
+                    return False
+            if self.right[x] == x:
+                return True
+            until_a = min(until_a, self.birth[x])
+            x = self.right[x]
+
     def encode_word(self, word: bytes) -> list[int]:
         """The one path through the automaton whose labels make up the word."""
         n = len(word)

@@ -91,7 +91,6 @@ _PLACEHOLDER = regex.compile(
 _FORMS = regex.compile(r"[{<&@%_X#\[$]")
 _PASSAGE = regex.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
-_LAST_WORD = re.compile(r"(?<![\w/.-])([^\W_])[\w/.-]*\s?$")
 _DIGITS, _BLANKS = re.compile(r"\d+"), re.compile(r"[^\S\n]+")
 
 
@@ -127,8 +126,8 @@ class Finder:
             return None
         if _FORMS.search(text):
             for m in _PLACEHOLDER.finditer(text):
-                caps, word = m.group("caps"), _LAST_WORD.search(text, max(0, m.start() - 80), m.start())
-                if caps is None or not word or word[1].lower() != caps[0].lower():  # a gloss starts as its word does
+                caps = m.group("caps")
+                if caps is None or not _is_gloss(caps, text[max(0, m.start() - 80) : m.start()]):
                     return "placeholder"
         plain = _BLANKS.sub(" ", _DIGITS.sub("0", text.lower().replace("’", "'")))
         found = _matches(self._telling, plain)
@@ -158,6 +157,15 @@ class Finder:
         return None
 
 
+def _is_gloss(code: str, before: str) -> bool:
+    """Whether a code in brackets abbreviates one of the three words before it (``ampicillin [AMP]``)."""
+    for word in re.findall(r"[^\W\d_]+", before.lower())[-3:]:
+        letters = iter(word)
+        if "_" not in code and 2 <= len(code) < len(word) and word[0] == code[0].lower() and all(c in letters for c in code.lower()):
+            return True
+    return False
+
+
 def _automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for phrase, kind in phrases.items():
