@@ -37,6 +37,7 @@ aktivieren sie javascript|javascript aktivieren|javascript ist deaktiviert|ihr b
 ERROR = """
 page not found|page could not be found|page cannot be found|page you asked for|page you requested|page you are looking for|could not be found|no longer exists on this server|no such article|no such page|return to the home page|go back to the start page|back to the home page|check the address|check the url
 0 not found|0 forbidden|0 unauthorized|0 bad request|0 bad gateway|bad gateway|gateway timeout|gateway time-out|internal server error|service unavailable|service temporarily unavailable|temporarily unavailable|http status 0|http error 0|status code 0|error code 0|error 0|0 error
+has been moved or removed|has moved permanently|timed out while loading|unable to retrieve the|unable to load the|failed to retrieve|you requested is not available|requested is not available|no such document|no such file|no such record|no such table|no such supplement|on this server|too many requests for this|you are not permitted to|not permitted to view|we logged the problem|this problem has been logged|request id|incident id
 upstream closed the connection|upstream timed out|while reading the response|connection timed out|connection refused|connection was reset|request timed out|download failed|checksum mismatch|failed to load
 access denied|permission denied|you do not have permission|you don't have permission|not authorized to view|request was blocked|blocked by our security|our security rules|too many requests|rate limit exceeded|wait 0 seconds|content unavailable in your region|not available in your region|not available in your country
 something went wrong|an error has occurred|an error occurred|unexpected error|please try again later|try again later|please retry|contact the administrator|contact your administrator|contact support
@@ -59,7 +60,7 @@ text folgt|zusammenfassung folgt|wird ergänzt|wird nachgereicht|noch zu ergänz
 """
 # Words that only add to the coverage of a telling phrase.
 MINOR = """
-please|sorry|warning|error|code 0|status|http|reload|reference|reference id|sign in|log in|login|share|reject|settings|accept all|menu|search|cookies|javascript|your browser|in your browser|browser|scripts|the site|this site|this site needs|the archive|about 0 minutes|0 minutes|0 seconds|this takes up to|update it to go on
+please|sorry|warning|error|code 0|status|http|http 0|0 error|the page|the article|the document|the file|the record|the table|the supplement|this page|this article|this document|this file|this record|this table|this supplement|to view|for this|no such|reload|reference|reference id|sign in|log in|login|share|reject|settings|accept all|menu|search|cookies|javascript|your browser|in your browser|browser|scripts|the site|this site|this site needs|the archive|about 0 minutes|0 minutes|0 seconds|this takes up to|update it to go on
 to view this article|to view this page|to view this content|to read the full text|to read this article|read the full text|to see the rest of this section|in order to read|you must have|the full text of|the requested article is|the requested article|the requested page|the requested url|on this server|on our side|from your network|at line 0|on line 0|and reload|to the article|to continue|to go on
 this section|this page|here|before submission|words|0-0 words|describe the|the ids found|the page|your|our|for
 pour afficher ce contenu|pour continuer|pour lire|ce contenu|réf|cette page|plus tard|para continuar|para ver|en su navegador|este contenido|el artículo|más tarde|um den volltext zu lesen|um fortzufahren|den volltext|bitte|die adresse|es später|以查看|以继续|本页|内容
@@ -117,6 +118,14 @@ class Finder:
             or (words.count("test") >= 2 and all(w == "test" or w.isdigit() for w in words))
         )
 
+    def _run_on(self, passage: str, strong: list[tuple[int, int]], covered: bytearray) -> bool:
+        """Whether telling phrases stand close together in a passage that goes on with something else."""
+        for (i, _), (k, j) in zip(strong, strong[1:]):
+            letters = [x for x in range(i, max(i, j)) if passage[x].isalnum()]
+            if k > i and len(letters) >= 24 and sum(covered[x] for x in letters) >= 0.8 * len(letters):
+                return True
+        return False
+
     def residue(self, text: str | None) -> str | None:
         """``placeholder``, ``notice``, ``error`` or ``filler``; None for real content.
 
@@ -154,6 +163,8 @@ class Finder:
                 letters = [x for x, c in enumerate(passage) if c.isalnum()]
                 if letters and sum(covered[x] for x in letters) >= self.coverage * len(letters):
                     return strong[0]
+                if self._run_on(passage, [(i - a, j - a) for i, j, kind in inside if kind != "hint"], covered):
+                    return strong[0]
         return None
 
 

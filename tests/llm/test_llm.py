@@ -261,6 +261,8 @@ _RESIDUE = [
     "XXX% of isolates", "The strain ${isolate_id} was sent.", "Samples came from <<PLACE>>.", "@@method@@ agreed", "Typed in __PLACE__ today", "%(amr)s", "Fifty &lt;PLACEHOLDER&gt; isolates", "[insert accession numbers here]",
     "Lorem ipsum dolor sit amet, nunc porta elit.", "TBD\nTBD", "TODO: add abstract", "xxxx xxx xxxxx", "asdf asdf qwer", "test test test 1", "We use cookies. Accept all / Reject / Settings", "Página no encontrada.", "Seite nicht gefunden.",
     "Cette page est introuvable.", "页面未找到", "请启用JavaScript以查看本页。", "Access denied.", "Your  session has expired. Log in again to read the full text.", "#REF!", "[object Object]", "This page is under maintenance.", "Abstract to follow.",
+    "(410) the table has been moved or removed.", "HTTP 403 - you are not permitted to view this table", "[504] timed out while loading the page!", "500 Error: unable to retrieve the file", "Request id e9fda9",
+    "Error: upstream timed out while reading the response (code 7) The index case fell ill on day 9 after a visit to Wurei with two others.",
 ]
 _CONTENT = [
     None, "", " \n", "Cookies and biscuits from one bakery were the most likely vehicle.", "Access was denied to 9 farms by their owners, who are not listed.", "The error page of the old register listed 12 duplicate entries, which we removed.",
