@@ -97,4 +97,24 @@ QUERIES = {
     for f in (p3_found, p3_by_field, p4_found, p4_share, p5_found, p5_by_split_and_source, p7_ids, p7_counts, p8_blend, p8_shares, p9_found, p9_by_source, p9_corpus)
 }
 
-ORACLE: dict[str, str] = {}
+_PMCID = "'PMC' || nullif(regexp_replace(regexp_extract({0}, '(?i)^\\s*(?:PMC)?[^0-9A-Za-z]*([0-9]+)(?:\\.[0-9]+)?\\s*$', 1), '^0+([0-9])', '\\1'), '')"
+
+_P5 = f"""
+WITH ex AS (SELECT DISTINCT experiment_id, split_name FROM gepa_experiments WHERE experiment_id IS NOT NULL AND split_name IS NOT NULL),
+m AS (SELECT DISTINCT {_PMCID.format("pmcid")} AS k, split_name, split_role FROM record_results JOIN ex USING (experiment_id)
+  JOIN (SELECT DISTINCT split_name, split_role FROM split_catalog) USING (split_name)),
+ev AS (SELECT k, split_name FROM m WHERE split_role = 'eval' AND k IS NOT NULL),
+tr AS (SELECT DISTINCT k FROM m WHERE split_role = 'train' AND k IS NOT NULL),
+w AS (SELECT {_PMCID.format("pmcid")} AS k, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM documents WHERE doc_type = 'article' AND text IS NOT NULL),
+s AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3 AND k IS NOT NULL)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT x.k AS a, y.k AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.k < y.k GROUP BY ALL),
+near AS (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 2 * o >= x.n + y.n - o)
+SELECT DISTINCT split_name, pmcid_a, pmcid_b FROM (
+  SELECT split_name, k AS pmcid_a, k AS pmcid_b FROM ev JOIN tr USING (k)
+  UNION ALL SELECT split_name, a, b FROM near JOIN ev ON ev.k = a JOIN tr ON tr.k = b
+  UNION ALL SELECT split_name, a, b FROM near JOIN ev ON ev.k = b JOIN tr ON tr.k = a)
+"""
+
+#: The other queries are beyond SQL and tested against brute force, a library, round trips or held-out values.
+ORACLE: dict[str, str] = {"p5_found": _P5}
