@@ -67,7 +67,9 @@ class Blend:
     documents: doc_id, text, source; documents without a target source, without
     a source or without tokens are not part of it. targets: source,
     target_share, max_repeats (null or below 1: not used). The blend's size is
-    ``total_tokens``, by default the tokens of all target sources together.
+    ``total_tokens``, by default the tokens of all target sources together, where
+    capped sources fall short; ``"exact"`` is the largest size at which no cap
+    binds and all sources that have tokens keep the proportions of their targets.
     The source with most rows is packed in ``buckets`` parts, so it is never in
     one task.
     """
@@ -76,7 +78,7 @@ class Blend:
         self,
         documents: DataFrame,
         targets: DataFrame,
-        total_tokens: int | None = None,
+        total_tokens: int | str | None = None,
         block_tokens: int = 512,
         slots_per_shard: int = 1024,
         buckets: int = 256,
@@ -98,9 +100,15 @@ class Blend:
         have = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
 
         plans = [SourcePlan(s, w, m, have.get(s, 0), math.ceil(have.get(s, 0) / block_tokens)) for s, (w, m) in sorted(wanted.items())]
-        total = sum(p.tokens for p in plans) if total_tokens is None else total_tokens
+        usable = [p for p in plans if p.target_share > 0 and p.tokens * p.max_repeats > 0]
+        if total_tokens == "exact":
+            weight = sum(p.target_share for p in usable)
+            total = int(min((p.tokens * p.max_repeats * weight / p.target_share for p in usable), default=0))
+        else:
+            total = sum(p.tokens for p in plans) if total_tokens is None else total_tokens
         for p, given in zip(plans, allocate(total, [p.target_share for p in plans], [p.tokens * p.max_repeats for p in plans])):
-            p.slots = min(round(given / block_tokens), p.blocks * p.max_repeats)
+            # a source's last block is short, so its blocks are a little less than block_tokens on average
+            p.slots = min(round(given / p.tokens * p.blocks), p.blocks * p.max_repeats) if p.tokens else 0
         self.plans = plans
         n_slots = sum(p.slots for p in plans)
         self.slots_per_shard = max(slots_per_shard, math.ceil(n_slots / MAX_SHARDS))

@@ -77,6 +77,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blend(spark, sf_dir).shares()
 
 
+def p8_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the largest blend in which no cap binds."""
+    return Blend(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total_tokens="exact").shares()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_residue(table(spark, sf_dir, "documents").select("doc_id", "text")).where("residue is not null").select("doc_id")
 
@@ -94,7 +99,7 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_by_field, p4_found, p4_share, p5_found, p5_by_split_and_source, p7_ids, p7_counts, p8_blend, p8_shares, p9_found, p9_by_source, p9_corpus)
+    for f in (p3_found, p3_by_field, p4_found, p4_share, p5_found, p5_by_split_and_source, p7_ids, p7_counts, p8_blend, p8_shares, p8_shares_exact, p9_found, p9_by_source, p9_corpus)
 }
 
 _PMCID = "'PMC' || nullif(regexp_replace(regexp_extract({0}, '(?i)^\\s*(?:PMC)?[^0-9A-Za-z]*([0-9]+)(?:\\.[0-9]+)?\\s*$', 1), '^0+([0-9])', '\\1'), '')"

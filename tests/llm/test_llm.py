@@ -243,6 +243,8 @@ def test_blend(spark):
     assert shares["small"].repeats == pytest.approx(3, abs=0.05) and shares["none"].actual_share == 0
     assert shares["big"].actual_share / shares["mid"].actual_share == pytest.approx(0.75, abs=0.02) and sum(r.actual_share for r in shares.values()) == pytest.approx(1)
     assert [tuple(r) for r in mixing.Blend(d, t, block_tokens=16, slots_per_shard=50, buckets=7).slots().orderBy("shard", "slot").collect()] == [tuple(r) for r in b.slots().orderBy("shard", "slot").collect()]
+    exact = {r.source: r.actual_share for r in mixing.Blend(d, t, "exact", block_tokens=4, buckets=7).shares().collect()}
+    assert exact["small"] == pytest.approx(2 / 9, abs=0.01) and exact["big"] == pytest.approx(3 / 9, abs=0.01)
     empty = mixing.Blend(d.limit(0), t)
     assert empty.rows().count() == 0 and empty.shares().count() == 4
     assert mixing.Blend(d, t.limit(0)).rows().count() == 0
