@@ -51,14 +51,18 @@ def unify_dashes(c: Column) -> Column:
 
 
 # Characters that are deleted, and characters with a plain spelling.
-_DELETED = "​‌‍‎‏‪‫‬‭‮⁠⁦⁧⁨⁩﻿"
-_SPELLED = {" ": " ", " ": " ", " ": " ", "　": " ", "‘": "'", "’": "'", "“": '"', "”": '"', "‐": "-", "‑": "-", "–": "-", "—": "-", "−": "-"}
+_DELETED = "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2066\u2067\u2068\u2069\ufeff\u00ad\u2020"
+_SPELLED = {"\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2010": "-", "\u2011": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u2012": "-", "\u00d7": "x", "\u2028": "\n", "\u2029": "\n"}
+_LONGER = {"\u2122": "(TM)"}
 
 
 def plain_characters(c: Column) -> Column:
     """Invisible characters deleted, typographic ones as ASCII."""
     spelled = "".join(_SPELLED)
-    return F.translate(c, spelled + _DELETED, "".join(_SPELLED.values()))
+    out = F.translate(c, spelled + _DELETED, "".join(_SPELLED.values()))
+    for ch, plain in _LONGER.items():
+        out = F.replace(out, F.lit(ch), F.lit(plain))
+    return out
 
 
 def occurrences(c: Column, what: str) -> Column:
@@ -67,7 +71,7 @@ def occurrences(c: Column, what: str) -> Column:
 
 def problem_characters() -> list[tuple[str, str, str]]:
     """The dimension of characters that are counted: kind, character, spelling."""
-    return [("deleted", c, "") for c in _DELETED] + [("spelled", c, p) for c, p in _SPELLED.items()]
+    return [("deleted", c, "") for c in _DELETED] + [("spelled", c, p) for c, p in (_SPELLED | _LONGER).items()]
 
 
 def safe_text(c: Column) -> Column:

@@ -481,12 +481,24 @@ def text_stripped(spark, sf_dir):
 @query("""SELECT lang, ch AS character, cast(sum(length(text) - length(replace(text, ch, ''))) AS BIGINT) AS n, count(*) AS n_texts
 FROM documents CROSS JOIN (VALUES ('–'), ('—'), ('−'), (chr(160)), ('“'), ('”'), ('’')) v(ch) WHERE text LIKE '%' || ch || '%' GROUP BY ALL""")
 def text_characters(spark, sf_dir):
-    """AGG-17: occurrences of problem characters per language."""
+    """AGG-17: occurrences per language of the seven characters its SQL lists; text_characters_all has them all."""
     rows = maintain.character_issues(table(spark, sf_dir, "documents"), "text", "lang")
     shown = {f"U+{ord(c):04X}": c for c in "–—− “”’"}
     return rows.where(F.col("character").isin(list(shown))).select("lang", F.coalesce(*[F.when(F.col("character") == k, F.lit(v)) for k, v in shown.items()]).alias("character"), "n", "n_texts")
 
 
+@query("""WITH v(kind, code) AS (VALUES ('deleted', 8203), ('deleted', 8204), ('deleted', 8205), ('deleted', 8206), ('deleted', 8207), ('deleted', 8234), ('deleted', 8235), ('deleted', 8236),
+  ('deleted', 8237), ('deleted', 8238), ('deleted', 8288), ('deleted', 8294), ('deleted', 8295), ('deleted', 8296), ('deleted', 8297), ('deleted', 65279),
+  ('deleted', 173), ('deleted', 8224), ('spelled', 160), ('spelled', 8201), ('spelled', 8239), ('spelled', 12288), ('spelled', 8216), ('spelled', 8217), ('spelled', 8220),
+  ('spelled', 8221), ('spelled', 8208), ('spelled', 8209), ('spelled', 8211), ('spelled', 8212), ('spelled', 8722), ('spelled', 8210), ('spelled', 215), ('spelled', 8232),
+  ('spelled', 8233), ('spelled', 8482))
+SELECT lang, kind, printf('U+%04X', code) AS character, cast(sum(length(text) - length(replace(text, chr(code), ''))) AS BIGINT) AS n, count(*) AS n_texts
+FROM documents CROSS JOIN v WHERE contains(text, chr(code)) GROUP BY ALL""")
+def text_characters_all(spark, sf_dir):
+    """AGG-17, TXT-05: occurrences of every problem character per language, by code point."""
+    return maintain.character_issues(table(spark, sf_dir, "documents"), "text", "lang")
+
+
 @query()
 def article_sections(spark, sf_dir):
     """XML-01 to XML-04, TXT-18: sections, tables and composed input of each article."""

@@ -11,6 +11,7 @@ from evalweave.functions import dates, text
 from evalweave.functions import normalise as N
 from evalweave.operators import accession, ast_formats, budget, feedback, items, maintain, matching, resolve, scoring, stats
 from evalweave.operators.xmltext import read_article
+from evalweave.plans import evaluation
 from evalweave.sources import adapters, files, sinks
 
 
@@ -203,6 +204,24 @@ def test_statistics(spark):
     assert stats.wilcoxon(pairs.limit(0), "a", "b").first().n == 0
 
 
+def test_every_problem_character_of_the_reference_is_counted(spark):
+    # check_encoding.py:40-73
+    removed = "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\ufeff\u00ad\u2020"
+    spelled = {"\xa0": " ", "\u2028": "\n", "\u2029": "\n", "\u2019": "'", "\u2018": "'", "\u201c": '"', "\u201d": '"', "\u2122": "(TM)", "\u00d7": "x"} | dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2212", "-")
+    want = dict.fromkeys(removed, "") | spelled
+    assert len(want) == 29 and want.items() <= {c: p for _, c, p in text.problem_characters()}.items()
+    df = spark.createDataFrame([("en", "a" + 2 * c + "b") for c in want], "lang string, t string")
+    got = {r.character: (r.n, r.n_texts) for r in maintain.character_issues(df, "t", "lang").collect()}
+    assert got == {f"U+{ord(c):04X}": (2, 1) for c in want}
+    assert {r.p for r in df.select(text.plain_characters(F.col("t")).alias("p")).collect()} == {"a" + 2 * p + "b" for p in want.values()}
+
+
+def test_the_query_reports_every_problem_character(spark, tmp_path):
+    every = [c for _, c, _ in text.problem_characters()]
+    spark.createDataFrame([("en", c) for c in every], "lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.character for r in evaluation.text_characters_all(spark, str(tmp_path)).collect()} == {f"U+{ord(c):04X}" for c in every}
+
+
 def test_feedback(spark):
     ids = spark.createDataFrame([(1, "iso9"), (1, "iso7")], "doc_id int, iso_id string")
     texts = spark.createDataFrame([(1, "only iso9 here")], "doc_id int, text string")
