@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.session import checkpointed
+
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank sums of a - b, zero differences dropped: n, w_plus, w_minus, rank_biserial, z.
@@ -101,15 +103,38 @@ def score_bin(c: Column) -> Column:
     return F.when(c <= 0, 0).when(c < 0.2, 1).when(c < 0.4, 2).when(c < 0.6, 3).when(c < 0.8, 4).otherwise(5)
 
 
-def nested_splits(rows: DataFrame, id_col: str, size_col: str, shares: tuple[int, ...] = (10, 20, 30), seed: int = 17) -> DataFrame:
-    """Stratified, nested splits: with stratum (quartile of size) and the smallest share a row is in, null for the rest.
+def nested_splits(rows: DataFrame, id_col: str, size_col: str, shares: tuple[int, ...] = (10, 20, 30), seed: int = 17, width: int = 10_000) -> DataFrame:
+    """Stratified, nested splits: with stratum (quarter by size) and the smallest share a row is in, null for the rest.
 
-    Quartiles come from exact percentiles (one row), the order within a stratum
-    from a hash; a row's place is its hash's place in [0, 1), so no stratum is sorted.
+    Strata are as ntile(4) makes them, rows of equal size in the order of a hash,
+    so they stay balanced whatever the ties. Of each stratum the first rows by
+    another hash are taken, for a share of x percent x percent of its rows,
+    rounded up, so no stratum is left out. Rows without size are in no split.
+    Places come from counts per range of the hash first (of about ``width``
+    rows), so neither a stratum nor a frequent size is ever in one task.
     """
-    cut = rows.agg(*[F.percentile(size_col, q).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))]).first()
-    s = F.col(size_col)
-    stratum = F.when(s.isNull(), None).when(s <= cut["q0"], 1).when(s <= cut["q1"], 2).when(s <= cut["q2"], 3).otherwise(4) if cut["q0"] is not None else F.lit(None)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10_000)) / 100
-    share = F.coalesce(*[F.when(place < x, x) for x in sorted(shares)])
-    return rows.withColumn("stratum", stratum.cast("int")).withColumn("share", share.cast("int"))
+    rows = checkpointed(rows)
+    known = rows.where(F.col(size_col).isNotNull())
+    total = known.count()
+    step = (1 << 62) // max(1, math.ceil(total / width)) + 1
+
+    def placed(df: DataFrame, key: str, seed: int, whole: Window) -> DataFrame:
+        """With _i, the place from 1 by the hash (within ``key``, or by ``key`` first): ``whole`` says where counting starts."""
+        h = F.xxhash64(F.col(id_col), F.lit(seed))
+        r = df.withColumn("_h", h).withColumn("_p", F.shiftrightunsigned("_h", 2)).withColumn("_b", F.expr(f"_p div {step}L"))
+        counts = r.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_k"))
+        before = F.coalesce(F.sum("_k").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per key and range of the hash
+        inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy("_p", "_h", id_col))
+        starts = counts.select(key, "_b", before.alias("_s"))
+        return r.withColumn("_j", inside).join(starts, [key, "_b"]).withColumn("_i", F.col("_s") + F.col("_j")).drop("_h", "_p", "_b", "_s", "_j")
+
+    q, more = divmod(total, 4)  # the first ``more`` strata have q + 1 rows
+    cut = more * (q + 1)
+    stratum = F.expr(f"case when _i <= {cut} then (_i - 1) div {q + 1} + 1 else {more} + (_i - 1 - {cut}) div {max(q, 1)} + 1 end").cast("int")
+    ranked = placed(known, size_col, seed, Window.partitionBy(F.lit(1)).orderBy(size_col, "_b"))
+    strata = checkpointed(ranked.withColumn("stratum", stratum).drop("_i"))
+    size = F.when(F.col("stratum") <= more, q + 1).otherwise(q)
+    share = F.coalesce(*[F.when(F.col("_i") <= F.ceil(size * x / 100), x) for x in sorted(shares)])
+    split = placed(strata, "stratum", seed + 1, Window.partitionBy("stratum").orderBy("_b")).withColumn("share", share.cast("int"))
+    rest = rows.where(F.col(size_col).isNull()).withColumns({"stratum": F.lit(None).cast("int"), "share": F.lit(None).cast("int")})
+    return split.select(*rows.columns, "stratum", "share").unionByName(rest)

@@ -222,6 +222,22 @@ def test_the_query_reports_every_problem_character(spark, tmp_path):
     assert {r.character for r in evaluation.text_characters_all(spark, str(tmp_path)).collect()} == {f"U+{ord(c):04X}" for c in every}
 
 
+@pytest.mark.parametrize("sizes", [[7] * 103, [1] * 60 + list(range(2, 45)), [3, 1, 2], [5, 5, 5, 5, 5]])
+def test_splits_are_balanced_in_every_stratum(spark, sizes):
+    df = spark.createDataFrame([*enumerate(sizes), (-1, None)], "id int, n int")
+    rows = stats.nested_splits(df, "id", "n").collect()
+    assert sorted(r.id for r in rows) == list(range(-1, len(sizes)))
+    assert [(r.stratum, r.share) for r in rows if r.n is None] == [(None, None)]
+    by = {k: [r for r in rows if r.stratum == k] for k in range(1, 5)}
+    assert [len(v) for v in by.values()] == [len(sizes) // 4 + (k < len(sizes) % 4) for k in range(4)]
+    in_order = [n for v in by.values() for n in sorted(r.n for r in v)]
+    assert in_order == sorted(sizes)
+    for v in by.values():
+        for x in (10, 20, 30):
+            assert sum(r.share is not None and r.share <= x for r in v) == -(-len(v) * x // 100)
+    assert set(stats.nested_splits(df, "id", "n", width=9).collect()) == set(rows)
+
+
 def test_feedback(spark):
     ids = spark.createDataFrame([(1, "iso9"), (1, "iso7")], "doc_id int, iso_id string")
     texts = spark.createDataFrame([(1, "only iso9 here")], "doc_id int, text string")
