@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +44,48 @@ def wilcoxon_exact_p(w_plus: float, n: int) -> float:
     return min(1.0, 2 * sum(counts[: int(math.floor(w)) + 1]) / 2**n)
 
 
-def bootstrap_interval(values: DataFrame, id_col: str, col: str, rounds: int = 1000, level: float = 0.95, seed: int = 17) -> DataFrame:
-    """Percentile interval of the mean: n, mean, low, high. Rows are told apart by ``id_col``.
+def bootstrap_interval(values: DataFrame, id_col: str, col: str, rounds: int = 10_000, level: float = 0.95, seed: int = 17, block: int = 4096) -> DataFrame:
+    """Percentile interval of the mean: n, mean, low, high. In each round n rows are drawn with replacement.
 
-    Every row counts a Poisson(1) number of times in each round, drawn from a
-    hash of id and round, so a round is a sum, rows never meet and every run
-    gives the same interval. The rows are expanded by the rounds and combined
-    before the shuffle, which holds one row per round and task.
+    Equal values are counted first: how often each is drawn is multinomial, the
+    same as drawing the rows (so ``id_col`` doesn't matter). The distinct values
+    lie in blocks of about ``block``; a round's draws are split over the blocks,
+    then within each block, by generators seeded with round and block, so every
+    run gives the same interval and no task holds all values.
     """
-    v = values.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"), F.xxhash64(id_col, F.lit(seed)).alias("h"))
-    draws = v.select("v", "h", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
-    u = F.pmod(F.xxhash64("h", "b"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    at_most, p = [math.exp(-1)], math.exp(-1)  # chances of at most 0, 1, 2, ... copies
-    for k in range(1, 9):
-        p /= k
-        at_most.append(at_most[-1] + p)
-    times = reduce(lambda a, b: a + b, [(F.col("u") >= t).cast("int") for t in at_most])
-    means = draws.withColumn("u", u).withColumn("t", times).groupBy("b").agg(F.try_divide(F.sum(F.col("v") * F.col("t")), F.sum("t")).alias("m"))
-    tails = means.agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
-    one = v.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    v = values.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
+    distinct = checkpointed(v.groupBy("v").agg(F.count(F.lit(1)).alias("k")))
+    j = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(max(1, math.ceil(distinct.count() / block)))).alias("j")
+    pairs = F.array_sort(F.collect_list(F.struct("v", "k")))  # about ``block`` values
+    held = checkpointed(distinct.groupBy(j).agg(F.sum("k").alias("n"), pairs.alias("p")).select("j", "n", F.col("p.v").alias("v"), F.col("p.k").alias("k")))
+    sizes = {r["j"]: r["n"] for r in held.select("j", "n").collect()}  # one row per block
+    n = sum(sizes.values())
+    if not n:
+        return v.agg(F.count(F.lit(1)).alias("n"), *[F.avg("v").alias(c) for c in ("mean", "low", "high")])
+    chances = np.array([sizes.get(k, 0) / n for k in range(max(sizes) + 1)])
+
+    @F.arrow_udf("array<bigint>")
+    def split(b: pa.Array) -> pa.Array:
+        return pa.array([np.random.default_rng([seed, r]).multinomial(n, chances) for r in b.to_pylist()], pa.list_(pa.int64()))
+
+    @F.arrow_udf("array<double>")
+    def sums(j: pa.Array, b: pa.Array, t: pa.Array, v: pa.Array, k: pa.Array) -> pa.Array:
+        out = []
+        for j1, b1, t1, v1, k1 in zip(j.to_pylist(), b.to_pylist(), t.to_pylist(), v, k):
+            x, w = (np.array(c.values, dtype=float) for c in (v1, k1))
+            w /= w.sum()
+            out.append([float((np.random.default_rng([seed, r, j1]).multinomial(m, w) * x).sum()) for r, m in zip(b1, t1)])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    batch = 100  # rounds in a row
+    tasks = max(1, math.ceil(rounds / batch / 4))
+    drawn = distinct.sparkSession.range(0, rounds, 1, tasks).select("id", F.posexplode(split("id")).alias("q", "t"))
+    drawn = drawn.groupBy(F.col("q").cast("bigint").alias("j"), F.floor(F.col("id") / batch).alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("x"))
+    rows = drawn.join(held.drop("n"), "j").repartition(min(10_000, tasks * len(sizes)), "j", "g")
+    each = rows.select("j", "x.id", sums("j", "x.id", "x.t", "v", "k").alias("s")).select("j", F.inline(F.arrays_zip("id", "s")).alias("id", "s"))
+    added = F.aggregate(F.array_sort(F.collect_list(F.struct("j", "s"))), F.lit(0.0), lambda a, x: a + x["s"])  # in one order; one per block
+    tails = each.groupBy("id").agg((added / n).alias("m")).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
+    one = distinct.agg(F.sum("k").alias("n"), (F.sum(F.col("v") * F.col("k")) / n).alias("mean"))
     return one.withColumn("_k", F.lit(1)).join(tails.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 

@@ -447,9 +447,9 @@ def paired_mcnemar(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    """STA-02: interval of the mean difference by 200 reproducible rounds."""
+    """STA-02: interval of the mean difference by 10,000 reproducible rounds."""
     pairs = _pairs(spark, sf_dir).withColumn("d", F.col("a") - F.col("b"))
-    return stats.bootstrap_interval(pairs, "pmcid", "d", rounds=200)
+    return stats.bootstrap_interval(pairs, "pmcid", "d", rounds=10_000)
 
 
 @query()

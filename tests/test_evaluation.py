@@ -238,6 +238,27 @@ def test_splits_are_balanced_in_every_stratum(spark, sizes):
     assert set(stats.nested_splits(df, "id", "n", width=9).collect()) == set(rows)
 
 
+def test_bootstrap_draws_as_many_rows_as_there_are(spark):
+    # two pairs: a resample's mean is 0, 1/2 or 1, with chances 1/4, 1/2, 1/4
+    two = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None)], "id int, v double")
+    ends = lambda level, **more: tuple(stats.bootstrap_interval(two, "id", "v", level=level, **more).first())
+    assert ends(0.95) == (2, 0.5, 0.0, 1.0) and ends(0.46) == (2, 0.5, 0.5, 0.5) and ends(0.95, block=1) == (2, 0.5, 0.0, 1.0)
+    many = spark.range(3000).select("id", (F.col("id") / 3000).alias("v"))
+    for block in (4096, 200):
+        r = stats.bootstrap_interval(many, "id", "v", block=block).first()
+        assert r.n == 3000 and abs(r.low - (r.mean - 0.01033)) < 3e-4 and abs(r.high - (r.mean + 0.01033)) < 3e-4
+    none = stats.bootstrap_interval(two.limit(0), "id", "v").first()
+    assert tuple(none) == (0, None, None, None)
+
+
+def test_bootstrap_query_runs_the_rounds_of_the_reference(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(evaluation, "_pairs", lambda *_: spark.createDataFrame([("a", 0.5, 0.25)], "pmcid string, a double, b double"))
+    monkeypatch.setattr(evaluation.stats, "bootstrap_interval", lambda *_, rounds: asked.append(rounds))
+    evaluation.paired_bootstrap(spark, "")
+    assert asked == [10_000]
+
+
 def test_feedback(spark):
     ids = spark.createDataFrame([(1, "iso9"), (1, "iso7")], "doc_id int, iso_id string")
     texts = spark.createDataFrame([(1, "only iso9 here")], "doc_id int, text string")
