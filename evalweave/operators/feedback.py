@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.normalise import ASSAY_FIELDS
-from evalweave.functions.text import message_lines
+from evalweave.functions.text import message_lines, strip
 
 # How antigenic formulas and population-level values are written.
 ANTIGENIC_FORMULA = r"^\d[\d,\[\]]*:\w[\w,\-]*:[\w,\-]*$"
@@ -46,16 +46,16 @@ def population_values(ext_items: DataFrame, sample: int = 3) -> DataFrame:
 
 
 def unknown_fields(raw_fields: DataFrame) -> DataFrame:
-    """Field names as given (lower case, no aliases) that are no assay fields. In: doc_id, field_raw."""
-    name = F.lower(F.trim("field_raw"))
-    return raw_fields.select("doc_id", name.alias("f")).where(~F.col("f").isin(ASSAY_FIELDS)).groupBy("doc_id").agg(F.array_sort(F.collect_set("f")).alias("fields"))
+    """Field names as given that are no assay fields, whatever the case; aliases count as unknown. In: doc_id, field_raw."""
+    unknown = ~F.lower(strip(F.col("field_raw"))).isin(ASSAY_FIELDS)
+    return raw_fields.where(unknown).groupBy("doc_id").agg(F.array_sort(F.collect_set("field_raw")).alias("fields"))
 
 
 def composed(scores: DataFrame, **found: DataFrame) -> DataFrame:
     """One message text per document.
 
     scores: doc_id, gt_category, ext_category, fp, fn, loose_tp, tp; found:
-    table_gap, formulas, population, fields as the detectors give them, each optional.
+    table_gap, linking, formulas, population, fields as the detectors give them, each optional.
     """
     df = scores
     for name, rows in found.items():
@@ -69,6 +69,8 @@ def composed(scores: DataFrame, **found: DataFrame) -> DataFrame:
     ]
     if "table_gap" in found:
         lines.append(F.when(c("table_gap_n") > 0, F.concat(F.lit("In the text but not extracted: "), F.array_join("table_gap_sample", ", "))))
+    if "linking" in found:
+        lines.append(F.when(c("linking_linking") == "full", "Isolates and assay data were given but not linked.").when(c("linking_linking") == "partial", "Isolates were given without links, linked ones are expected."))
     if "formulas" in found:
         lines.append(F.when(F.size("formulas_sample") > 0, F.concat(F.lit("Antigenic formulas are serotypes: "), F.array_join("formulas_sample", ", "))))
     if "population" in found:

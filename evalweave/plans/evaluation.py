@@ -114,7 +114,7 @@ def _both_items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     both = gt.join(ext, "doc_id")
     both = checkpointed(both)  # read once: every operator below uses the items several times
     gt_items = checkpointed(items.ground_truth_items(both, "doc_id", "gt_json"))
-    return both.select("doc_id"), gt_items, checkpointed(items.output_items(both, "doc_id", "raw"))
+    return both, gt_items, checkpointed(items.output_items(both, "doc_id", "raw"))
 
 
 @query()
@@ -148,7 +148,11 @@ def feedback_messages(spark, sf_dir):
     scores = scoring.score_documents(docs, gt, ext)
     texts = table(spark, sf_dir, "documents").where("doc_type = 'article' and text is not null").select(plain_pmcid(F.col("pmcid")).alias("doc_id"), "text")
     gap = feedback.table_gap(gt.where("section = 'iwl'"), ext.where("section = 'iwl'"), texts)
-    return feedback.composed(scores, table_gap=gap, formulas=feedback.missed_formulas(gt, ext), population=feedback.population_values(ext))
+    sections = items.output_categories(docs, "doc_id", "raw").select("doc_id", "iwl", "iwol", "bare")
+    truth = items.categories(gt).select("doc_id", F.col("category").alias("gt_category"))
+    linking = feedback.linking_failure(sections.join(truth, "doc_id")).select("doc_id", "linking")
+    fields = feedback.unknown_fields(items.output_fields(docs, "doc_id", "raw"))
+    return feedback.composed(scores, table_gap=gap, linking=linking, fields=fields, formulas=feedback.missed_formulas(gt, ext), population=feedback.population_values(ext))
 
 
 # --- reports over stored results ---------------------------------------------------------------------------

@@ -271,6 +271,29 @@ def test_feedback(spark):
     assert [r.linking for r in feedback.linking_failure(link).collect()] == ["full", "partial", None, None]
 
 
+def test_feedback_query_names_linking_failures_and_unknown_fields(spark, tmp_path):
+    linked, loose, bare = "isolates_with_linking", "isolate_without_linking", "no_isolates_only_assayinformation"
+    truth = {linked: {"a": {"mlst": "ST1"}}}
+    outputs = {
+        "PMC1": {loose: ["a"], bare: {"mlst": "ST1"}},
+        "PMC2": {loose: ["a"], bare: {"mlst": ""}},
+        "PMC3": {linked: {"a": {"mlst": "ST1", " Host": None, "Serovar": ""}}, bare: {"MLST ": "", "year": []}},
+        "PMC4": truth,
+        "PMC5": {linked: {"b": {"mlst": "ST1"}}, loose: ["a"]},
+    }
+    gt = [(k, i, json.dumps(truth), dt.datetime(2024, 1, 1)) for i, k in enumerate(outputs)]
+    ext = [(k, i, json.dumps(v), dt.datetime(2024, 1, 1)) for i, (k, v) in enumerate(outputs.items())]
+    spark.createDataFrame(gt, "pmcid string, gt_id bigint, gt_json string, updated_at timestamp").write.parquet(str(tmp_path / "gt_records.parquet"))
+    spark.createDataFrame(ext, "pmcid string, extraction_id bigint, raw_model_output string, created_at timestamp").write.parquet(str(tmp_path / "extraction_results.parquet"))
+    spark.createDataFrame([("PMC9", "article", "x")], "pmcid string, doc_type string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = evaluation.feedback_messages(spark, str(tmp_path)).collect()
+    got = {r.doc_id[-1]: r.feedback.split("\n") for r in rows}
+    full, partial = "Isolates and assay data were given but not linked.", "Isolates were given without links, linked ones are expected."
+    assert len(rows) == 5 and {k for k, v in got.items() if full in v} == {"1"} and {k for k, v in got.items() if partial in v} == {"2"}
+    assert {k: x for k, v in got.items() for x in v if x.startswith("Unknown")} == {"3": "Unknown fields:  Host, Serovar, year"}
+    assert got["4"] == ["Extraction correct."]
+
+
 def test_maintenance(spark):
     doc = {"isolates_with_linking": [{"isolate_id": "a", "mlst": ["1"], "isolate_country": "x"}, {"isolate_id": "b", "mlst": ["2", "1"], "amr": "q\u2013r"}]}
     df = spark.createDataFrame([(1, json.dumps(doc)), (2, '{"b": 1, "a": 2}'), (3, "{"), (4, None)], "id int, j string")
