@@ -93,7 +93,7 @@ def _nodes(text: Column, parse) -> Column:
         flat = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(names, pa.string())], ["node_path", "node_name"])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
-    return nodes(text)
+    return nodes.asNondeterministic()(text)  # or a filter on the nodes would parse every text again
 
 
 def dewey_nodes(source: DataFrame, root_table: str, id_col: str, text_col: str, kind: str) -> DataFrame:
