@@ -1,14 +1,20 @@
 """Template residue, filler, error pages and browser notices in place of content.
 
-Method: a multi-pattern automaton finds the phrases of such texts in several
-languages. A passage (a sentence or line) is residue when phrases cover most of
-its letters and one of them is telling by itself, so sentences that merely speak
-of such things stay. Unfilled placeholders are told by their form.
+Method: one multi-pattern automaton holds the phrases of such texts in five
+languages, written out and built from slots (what x state, action x thing), the
+words that filler prose is made of, and the openings of placeholders. A passage
+is excluded when its matches cover most of its letters and one of them is telling
+by itself, so sentences that merely speak of such things stay; without such a
+phrase, single words of such pages must cover nearly all of it. Passages are the
+whole text, a sentence or line, two or more telling phrases in a row, and a
+placeholder, which starts where the automaton finds its opening and is covered by
+itself when a field's name and its closing follow.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import ahocorasick
@@ -19,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: The part of a passage's letters and digits that phrases must cover.
 COVERAGE = 0.5
+#: The part that single words must cover where no phrase is telling by itself.
+_NEARLY_ALL = 0.9
 
 # Phrases in lower case, numbers written 0. Telling ones, by kind.
 NOTICE = """
@@ -40,7 +48,7 @@ page not found|page could not be found|page cannot be found|page you asked for|p
 has been moved or removed|has moved permanently|timed out while loading|unable to retrieve the|unable to load the|failed to retrieve|you requested is not available|requested is not available|no such document|no such file|no such record|no such table|no such supplement|on this server|too many requests for this|you are not permitted to|not permitted to view|we logged the problem|this problem has been logged|request id|incident id
 upstream closed the connection|upstream timed out|while reading the response|connection timed out|connection refused|connection was reset|request timed out|download failed|checksum mismatch|failed to load
 access denied|permission denied|you do not have permission|you don't have permission|not authorized to view|request was blocked|blocked by our security|our security rules|too many requests|rate limit exceeded|wait 0 seconds|content unavailable in your region|not available in your region|not available in your country
-something went wrong|an error has occurred|an error occurred|unexpected error|please try again later|try again later|please retry|contact the administrator|contact your administrator|contact support
+http 0|proxy error|loading...|loading…|please wait|just a moment|something went wrong|an error has occurred|an error occurred|unexpected error|please try again later|try again later|please retry|contact the administrator|contact your administrator|contact support
 scheduled maintenance|down for maintenance|under maintenance|undergoing maintenance|maintenance mode|maintenance in progress|will be back in|will be back soon|we'll be back|be back shortly
 cannot read property|of undefined at line|is not set on line|template variable|undefined variable|undefined index|traceback (most recent call last)|fatal error:|syntax error|stack trace|nullpointerexception|segmentation fault
 [object object]|undefined undefined|null null|nan nan
@@ -60,13 +68,77 @@ text folgt|zusammenfassung folgt|wird ergänzt|wird nachgereicht|noch zu ergänz
 """
 # Words that only add to the coverage of a telling phrase.
 MINOR = """
-please|sorry|warning|error|code 0|status|http|http 0|0 error|the page|the article|the document|the file|the record|the table|the supplement|this page|this article|this document|this file|this record|this table|this supplement|to view|for this|no such|reload|reference|reference id|sign in|log in|login|share|reject|settings|accept all|menu|search|cookies|javascript|your browser|in your browser|browser|scripts|the site|this site|this site needs|the archive|about 0 minutes|0 minutes|0 seconds|this takes up to|update it to go on
+please|sorry|oops|warning|error|code 0|caption|status|http|http 0|0 error|the page|the article|the document|the file|the record|the table|the supplement|this page|this article|this document|this file|this record|this table|this supplement|to view|for this|no such|reload|reference|reference id|sign in|log in|login|share|reject|settings|accept all|menu|search|cookies|javascript|your browser|in your browser|browser|scripts|the site|this site|this site needs|the archive|about 0 minutes|0 minutes|0 seconds|this takes up to|update it to go on
 to view this article|to view this page|to view this content|to read the full text|to read this article|read the full text|to see the rest of this section|in order to read|you must have|the full text of|the requested article is|the requested article|the requested page|the requested url|on this server|on our side|from your network|at line 0|on line 0|and reload|to the article|to continue|to go on
 this section|this page|here|before submission|words|0-0 words|describe the|the ids found|the page|your|our|for
 pour afficher ce contenu|pour continuer|pour lire|ce contenu|réf|cette page|plus tard|para continuar|para ver|en su navegador|este contenido|el artículo|más tarde|um den volltext zu lesen|um fortzufahren|den volltext|bitte|die adresse|es später|以查看|以继续|本页|内容
 """
 
-_WORDS = {"notice": NOTICE, "error": ERROR, "filler": FILLER, "minor": MINOR}
+# Slots that phrases are built from, each line one kind with the alternatives of its slots.
+_SLOTS = """
+error: page|article|document|file|record|supplement|site|website|server|service|content|resource|url|link|full text|image|video > not found|could not be found|cannot be found|can't be found|could not be located|does not exist|doesn't exist|no longer exists|no longer available|is not available|not available|is unavailable|unavailable|currently unavailable|is currently unavailable|temporarily unavailable|is temporarily unavailable|temporarily offline|is offline|is down|has expired|failed to load|could not be loaded|cannot be displayed|could not be displayed|could not be retrieved|could not be reached|is under maintenance|is being updated|took too long to respond|refused the connection|did not respond|is not responding|does not respond|encountered an error|returned an error|returned an empty response|can't be reached|cannot be reached|is temporarily offline|is overloaded|is currently overloaded|is busy
+error: servers|services|systems > are overloaded|are currently overloaded|are busy|are down|are offline|are unavailable|are not responding
+error: proxy|server|database|application|network|gateway|runtime|internal|unknown|fatal|unhandled|parse|render|script > error|exception|failure
+error: come back|check back|try again|try once more|reload the page|refresh the page|retry > later|tomorrow|soon|shortly|in a few minutes|in a moment
+error: bad|invalid|malformed|expired > request|token|link|url|address|session|certificate
+error: page|article|document|ressource|fichier|contenu|site|service|serveur > introuvable|non trouvé|non trouvée|indisponible|est indisponible|n'existe pas|n'existe plus|n'est plus disponible|n'est pas disponible|a été déplacé|a été déplacée|a été supprimé|a été supprimée|en cours de maintenance
+error: página|artículo|documento|archivo|recurso|contenido|sitio|servicio|servidor > no encontrada|no encontrado|no existe|ya no existe|no está disponible|ya no está disponible|no disponible|fue movido|fue eliminado|no responde|en mantenimiento
+error: seite|artikel|dokument|datei|inhalt|dienst|server|website > nicht gefunden|wurde nicht gefunden|existiert nicht|existiert nicht mehr|ist nicht verfügbar|nicht verfügbar|nicht mehr verfügbar|nicht erreichbar|antwortet nicht|wurde verschoben|wurde gelöscht|wird gewartet
+error: 页面|文章|文件|文档|内容|资源|网站|服务器|服务 > 未找到|找不到|不存在|已删除|已被删除|已移动|不可用|无法访问|无法显示|无响应|维护中
+notice: enable|activate|turn on|switch on|allow|please allow|accept > javascript|scripts|scripting|cookies|your cookies|all cookies|cookies and javascript
+notice: javascript|scripting|cookies|cookie support > required|is required|are required|is needed|are needed|must be enabled|must be turned on|must be switched on|is disabled|are disabled|is off|are off|is switched off|are switched off
+notice: log in|login|sign in|subscribe|register|authenticate|create an account > to continue|to proceed|to view|to read|to see|to access|to download|to go on|required|is required|with your account|to your account
+notice: requires|needs > javascript|cookies|an active login|an account|a subscription|a modern browser|a newer browser|scripting|you to log in|you to sign in|authentication
+notice: browser > is not supported|not supported|is too old|too old|is outdated|does not support javascript|has javascript disabled|blocks scripts|has cookies disabled
+notice: activez|veuillez activer|autorisez|acceptez > javascript|les scripts|les cookies
+notice: connectez-vous|identifiez-vous|inscrivez-vous|abonnez-vous > pour continuer|pour lire|pour accéder|pour voir|pour afficher
+notice: active|habilite|active las|acepte|permita > javascript|los scripts|las cookies|cookies
+notice: inicie sesión|regístrese|suscríbase|identifíquese > para continuar|para leer|para ver|para acceder
+notice: aktivieren sie|bitte aktivieren sie|erlauben sie|akzeptieren sie > javascript|skripte|cookies|die cookies
+notice: melden sie sich an|loggen sie sich ein|registrieren sie sich > um fortzufahren|um weiterzulesen|um zu lesen
+notice: activer|autoriser|accepter > javascript|les scripts|les cookies
+notice: habilitar|activar|permitir|aceptar > javascript|los scripts|las cookies|cookies
+notice: javascript|skripte|cookies > einschalten|aktivieren|erlauben|zulassen|akzeptieren
+notice: complete|pass|finish > the security check|a security check|the verification|the human check
+notice: 请登录|请先登录|登录后|请注册 > 继续|查看|阅读|访问
+notice: 启用|开启|允许|接受 > javascript|脚本|cookie
+filler: insert|enter|add|type|write|put|paste|describe|provide > text|title|name|caption|abstract|results|content|summary|description|author|authors|references|keywords|figure|table|your text|your title|your name|your caption|your abstract|the text|the title|the abstract|the caption|the results|text here|title here|name here|caption here|abstract here|figure here|table here|content here|description here
+filler: abstract|text|figure|table|figure 0|table 0|caption|results|details|content|summary|discussion|methods|description|references|acknowledgements > to follow|to come|coming soon|to be added|to be completed|to be inserted|to be written|to be supplied|to be provided|goes here|about here|here|pending
+filler: résumé|texte|figure|tableau|titre|contenu|légende > à venir|à compléter|à insérer|à ajouter|ici
+filler: resumen|texto|figura|tabla|título|contenido > pendiente|por completar|por añadir|por insertar|aquí
+filler: zusammenfassung|text|abbildung|tabelle|titel|inhalt > folgt|einfügen|hier einfügen|ergänzen|fehlt noch
+filler: 摘要|文本|标题|图|表|内容 > 待补充|待定|待添加|在此|此处
+"""
+
+
+# Words of pages that stand in for content, by language; and words that only join them.
+_CORE = """
+page pages website site server servers request requests browser browsers cookie cookies javascript script scripts login log sign session sessions account password username subscribe subscription register url http error errors exception timeout unavailable unsupported disabled enabled expired redirect redirecting loading captcha reload refresh retry blocked forbidden unauthorized maintenance downtime technical difficulties domain homepage menu newsletter privacy settings download support desk administrator
+article articles document file files content results limit free security check verification institution
+navigateur serveur site cookies page erreur connexion connectez session compte requête maintenance javascript contenu rédaction télécharger
+navegador servidor sitio cookies página error sesión cuenta solicitud mantenimiento javascript contenido descarga
+browser server seite cookies fehler anmelden anmeldung sitzung konto anfrage wartung javascript inhalt datei website webseite
+浏览器 服务器 网站 页面 错误 登录 会话 帐户 账户 请求 维护 脚本 本网站 cookie
+"""
+_GLUE = """
+a an the this that these those your you we our us i it its to of in on at for from with by and or but not no is are was be been being has have had can cannot could will would may must should please sorry if then when again later now here there try go going continue see seem seems use uses using used read reading view viewing access full text more back out up about all some any because problem problems found reached reach call click sign 0 processed process failed fail status code need needed required help contact following requested request available country region yet soon home
+ce cet cette ces le la les l de du des d un une et ou en est sont a à au aux pour par sur dans vous votre vos nous utilise utilisons veuillez plus tard cours n ne pas être
+el la los las un una de del en y o es está son su sus usted para por con este esta estos utiliza utilizamos usa favor más tarde no se ha
+der die das den dem ein eine einen und oder in im ist sind nicht sie ihr ihre ihren wir für mit auf zu um diese dieser dieses verwendet verwenden nutzt bitte später wurde werden
+使用 请 您 您的 的 了 在 以 本 我们 稍后 再试 无法 需要 继续
+"""
+
+
+def _phrases() -> dict[str, set[str]]:
+    """All phrases by kind: those written out, and those that the slots make."""
+    words = {kind: {p for p in re.split(r"[|\n]", text) if p.strip()} for kind, text in (("notice", NOTICE), ("error", ERROR), ("filler", FILLER), ("minor", MINOR))}
+    for line in filter(None, _SLOTS.split("\n")):
+        kind, slots = line.split(": ", 1)
+        parts = [slot.split("|") for slot in slots.split(" > ")]
+        for way in itertools.product(*parts):
+            words[kind] |= {" ".join(way), "".join(way)} if way[0] > "⺀" else {" ".join(way)}
+    return words
+
 
 # The words that filler prose is made of.
 _LOREM = frozenset(
@@ -77,33 +149,99 @@ _LOREM = frozenset(
 )
 _KEYS = frozenset("asdf asdfgh asdfghjkl qwer qwerty qwertz azerty zxcv zxcvb hjkl jkl jklö sdfg dfgh fghj qwe asd zxc".split())
 
-_PLACEHOLDER = regex.compile(
-    r"""
-    \{\{\s*[\w.\- ]+?\s*(?:\|[^{}\n]*)?\}\} | \{%[^%\n]*%\} | \$\{\w[\w.]*\}
-    | <<\s*\p{L}[\w\- ]*>> | (?:<|&lt;)(?:[A-Z][A-Z_]{2,}|[a-z]+(?:_\w+)+|[A-Z]+(?:_\w+)+)(?:>|&gt;)
-    | @@\w+@@ | %%\w+%% | %[A-Z][A-Z0-9_]{2,}% | %\([A-Za-z_]\w*\)[sdfr] | (?<!\w)__\p{Lu}+(?:_\p{Lu}+)*__(?!\w)
-    | \{[a-z]+(?:_[a-z0-9]+)+\} | \{[A-Z]+(?:_[A-Z0-9]+)+\} | \{[a-z]{3,}\}
-    | (?<!\w)X{3,}(?!\w) | \#(?:REF!|N/A|VALUE!|DIV/0!|NAME\?|NULL!|NUM!)
-    | \[\s*(?i:insert|enter|add|your|authors?|affiliations?|abstract|title|placeholder|to\ be|tbd|todo|insérer|insertar|einfügen|titre|título|titel)\b[^\[\]\n]*\]
-    | \[(?P<caps>\p{Lu}[\p{Lu}_]+|N)\]
-    """,
-    regex.X,
-)
-_FORMS = regex.compile(r"[{<&@%_X#\[$]")
+# How a placeholder opens and closes; then what its name is made of: any case, lower or upper case.
+_PAIRS = """
+{{ }} any
+{% %} any
+{ } lower
+{ } upper
+${ } any
+#{ } any
+<% %> any
+<< >> any
+< > lower
+< > upper
+&lt; &gt; lower
+&lt; &gt; upper
+[[ ]] any
+[% %] any
+[ ] upper
+@@ @@ any
+%% %% any
+__ __ upper
+%( )s any
+%( )d any
+% % upper
+$ $ upper
+"""
+# Elements that texts with mark-up leave open; other tags are told by their end tag.
+_ELEMENTS = frozenset("b br col dd dt em hr i img input li link meta ol option p strong sub sup td th tr tt u ul wbr".split())
+# What a request in brackets begins with, in five languages.
+_ASKS = "insert|enter|add|your|authors?|affiliations?|abstract|title|placeholder|to be|tbd|todo|insérer|ajouter|titre|insertar|añadir|título|einfügen|ergänzen|titel|插入|填写|输入"
+_SHEET_ERRORS = ("#ref!", "#n/a", "#value!", "#div/0!", "#name?", "#null!", "#num!")
+
+_WORDS = r"[\p{L}\p{M}]+\d*(?:[_\-. ]?[\p{L}\p{N}]+)*"
+_NAMES = {
+    "any": regex.compile(rf"[=\-]?\s*{_WORDS}(?:\s+(?:in|as|for|=)\s+{_WORDS})*\s*(?:\|[^{{}}\n]*)?"),
+    "lower": regex.compile(r"\p{Ll}+\d*(?:[_\- ][\p{Ll}\d]+){1,2}|\p{Ll}{3,}|\p{Ll}+(?:_[\p{Ll}\d]+)+"),
+    "upper": regex.compile(r"\p{Lu}+(?:[_\- ]\p{Lu}+)+|\p{Lu}{3,}|N"),
+}
+_LONGEST_NAME = 80
+_ASKING = regex.compile(rf"\s*(?i:{_ASKS})(?!\p{{L}})[^\[\]\n]*\]|(?<=<)(?i:insert|enter|add|your|insérer|insertar|einfügen)\s[^<>\n]*>")
+_LABEL = regex.compile(r"\p{L}\s*:\s*$")  # a label and a line to write on
+_COMMAND = regex.compile(r"(?:\\\p{L}+\*?|[\^_])$")  # mark-up whose braces hold text
 _PASSAGE = regex.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
+_SPACED, _HAN = re.compile(r"[\W_]+"), re.compile("[\u2e80-\uffff]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+|\p{N}+")
 _DIGITS, _BLANKS = re.compile(r"\d+"), re.compile(r"[^\S\n]+")
 
 
+def _openings() -> dict[str, list[tuple[str, str]]]:
+    out: dict[str, list[tuple[str, str]]] = {}
+    for line in _PAIRS.split("\n"):
+        if line:
+            opening, closing, name = line.split()
+            out.setdefault(opening, []).append((closing, name))
+    return out
+
+
 class Finder:
     """The compiled automata; ``residue`` tells the kind of a text's residue."""
 
     def __init__(self, coverage: float = COVERAGE) -> None:
-        self.coverage = coverage
-        words = {kind: {p for p in re.split(r"[|\n]", text) if p.strip()} for kind, text in _WORDS.items()}
-        telling = {p: k for k in ("filler", "error", "notice") for p in words[k]} | dict.fromkeys({w for w in _LOREM if len(w) > 3} | _KEYS, "hint") | dict.fromkeys(("xxx", "test test"), "hint")
+        self.coverage, self._pairs = coverage, _openings()
+        words = _phrases()
+        telling = {p: k for k in ("filler", "error", "notice") for p in words[k]} | dict.fromkeys({w for w in _LOREM if len(w) > 3} | _KEYS | {"test test"}, "hint")
+        telling |= dict.fromkeys(self._pairs, "opening") | dict.fromkeys(_SHEET_ERRORS, "sheet") | {"____": "line"} | {"x" * k: "xs" for k in range(3, 16)}
         self._telling = _automaton(telling)
         self._minor = _automaton(dict.fromkeys(words["minor"], "minor"))
+        self._core_words = core = frozenset(_CORE.split())
+        self._core, self._glue = _automaton(dict.fromkeys(core, "core")), _automaton(dict.fromkeys(set(_GLUE.split()) - core, "glue"))
+
+    def _placeholder(self, text: str, kind: str, start: int, after: int) -> bool:
+        """Whether a match of the automaton starts a placeholder: a field's name and the closing follow.
+
+        ``text``: in its own case, numbers written 0.
+        """
+        opening, before = text[start:after], text[max(0, start - 80) : start]
+        if kind != "opening":
+            return kind == "sheet" or (kind == "xs" and opening.isupper()) or (kind == "line" and bool(_LABEL.search(before)))
+        if opening in ("[", "<") and _ASKING.match(text, after):
+            return True
+        tight = len(opening) == 1 or opening in ("__", "&lt;")
+        for closing, style in self._pairs[opening]:
+            end = text.find(closing, after, after + _LONGEST_NAME)
+            name = text[after : max(end, after)]
+            if not _NAMES[style].fullmatch(name if tight else name.strip()) or (name == "N" and opening not in ("[", "__")):
+                continue
+            beside = text[start - 1 : start].isalnum() or text[end + len(closing) : end + len(closing) + 1].isalnum()
+            if opening in ("__", "%", "$") and beside or opening == "{" and _COMMAND.search(before):
+                continue
+            if opening in ("<", "&lt;") and (name in _ELEMENTS or f"{opening}/{name}" in text):
+                continue
+            if opening != "[" or not _is_gloss(name, before):
+                return True
+        return False
 
     def _filler(self, passage: str) -> bool:
         """Whether a passage is made of filler words, x's or keys in a row."""
@@ -126,6 +264,23 @@ class Finder:
                 return True
         return False
 
+    def _boilerplate(self, text: str, starts: list[int], ends: list[int]) -> bool:
+        """Whether a passage holds hardly any words but those of pages in place of content, and two that name one."""
+        by_passage: dict[int, list[tuple[int, int]]] = {}
+        for i, j, _ in _matches(self._core, text):
+            by_passage.setdefault(bisect.bisect_right(starts, i) - 1, []).append((i, j))
+        for k, core in by_passage.items():
+            if len({text[i:j] for i, j in core}) < 2:
+                continue
+            a, passage = starts[k], text[starts[k] : ends[k]]
+            letters = [x for x, c in enumerate(passage) if c.isalnum()]
+            covered = bytearray(len(passage))
+            for i, j in (*((i - a, j - a) for i, j in core), *((i, j) for i, j, _ in _matches(self._glue, passage))):
+                covered[i:j] = b"\1" * (j - i)
+            if sum(covered[x] for x in letters) >= _NEARLY_ALL * len(letters):
+                return True
+        return False
+
     def residue(self, text: str | None) -> str | None:
         """``placeholder``, ``notice``, ``error`` or ``filler``; None for real content.
 
@@ -133,14 +288,17 @@ class Finder:
         """
         if not text or text.isspace():
             return None
-        if _FORMS.search(text):
-            for m in _PLACEHOLDER.finditer(text):
-                caps = m.group("caps")
-                if caps is None or not _is_gloss(caps, text[max(0, m.start() - 80) : m.start()]):
-                    return "placeholder"
-        plain = _BLANKS.sub(" ", _DIGITS.sub("0", text.lower().replace("’", "'")))
-        found = _matches(self._telling, plain)
-        if not found:
+        shown = _BLANKS.sub(" ", _DIGITS.sub("0", text.replace("’", "'").replace("İ", "I")))
+        plain = shown.lower()
+        if len(plain) != len(shown):  # a letter whose lower case is longer
+            shown = plain
+        found = []
+        for i, j, kind in _matches(self._telling, plain):
+            if kind in ("opening", "sheet", "line", "xs") and self._placeholder(shown, kind, i, j):
+                return "placeholder"
+            if kind not in ("opening", "sheet", "line"):
+                found.append((i, j, "hint" if kind == "xs" else kind))
+        if not found and len(self._core_words.intersection(_SPACED.split(plain))) < 2 and not _HAN.search(plain):
             return None
         cuts = [0, *(x for m in _PASSAGE.finditer(plain) for x in m.span()), len(plain)]
         starts, ends = cuts[::2], cuts[1::2]
@@ -165,16 +323,19 @@ class Finder:
                     return strong[0]
                 if self._run_on(passage, [(i - a, j - a) for i, j, kind in inside if kind != "hint"], covered):
                     return strong[0]
-        return None
+        return "notice" if self._boilerplate(plain, starts, ends) else None
 
 
 def _is_gloss(code: str, before: str) -> bool:
-    """Whether a code in brackets abbreviates one of the three words before it (``ampicillin [AMP]``)."""
-    for word in re.findall(r"[^\W\d_]+", before.lower())[-3:]:
+    """Whether a code in brackets abbreviates one of the words before it (``ampicillin [AMP]``), or several by their initials."""
+    code, words = code.lower(), re.findall(r"[^\W\d_]+", before.lower())
+    if not code.isalpha() or len(code) < 2:
+        return False
+    for word in words[-3:]:
         letters = iter(word)
-        if "_" not in code and 2 <= len(code) < len(word) and word[0] == code[0].lower() and all(c in letters for c in code.lower()):
+        if len(code) < len(word) and word[0] == code[0] and all(c in letters for c in code):
             return True
-    return False
+    return "".join(w[0] for w in words[-len(code) :]) == code
 
 
 def _automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
