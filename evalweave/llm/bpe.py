@@ -3,13 +3,17 @@
 The merges are compiled one after another into a deterministic automaton over
 tokens, as in the merge-gadget construction: a merge (u, v) born at rank r takes
 the arc v away from the state that u leads to and adds the arc uv wherever u
-could be taken and v could follow. States only ever differ by the arcs taken
-away, so the automaton is held as that: for each token the tokens that may not
-follow it, with the rank from which on. Its words are exactly the sequences that
-BPE makes, and prefixes of such sequences are such sequences, so a pre-split
-word is encoded from left to right by table-driven transitions: at each byte
-one token ends that may follow the token at whose end it begins. Decoding emits
-the arcs' labels.
+could be taken and v could follow. Written out, its table has states times
+tokens entries, 2.5 billion for 50,000 merges; but all states come from one by
+taking arcs away, so it is held as the differences: per token the arcs barred
+after it, with the rank from which on.
+
+A pre-split word is encoded from left to right by table-driven transitions. A
+second table over bytes (state and byte give a state) tells at each byte which
+arcs end there, the longest first; the one whose label may follow the token at
+whose end it begins is taken. Exactly one does, since the automaton's words are
+the sequences that BPE makes and prefixes of such are such. Decoding emits the
+arcs' labels.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ import os
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level vocabularies cut a text into words before merging.
@@ -60,13 +65,15 @@ class Automaton:
             if self.birth[uv] < 0:
                 self.left[uv], self.right[uv], self.birth[uv] = u, v, rank
                 self.ids[labels[uv]] = uv
-        self.longest = max(map(len, labels), default=1)
         self._follows: dict[tuple[int, int], bool] = {}
+        self._more: dict[int, dict[int, int]] = {}
+        self._sizes = list(map(len, labels))
         self._known: dict[str, list[int]] = {}
         self._split = regex.compile(PRE_SPLIT)
         # bytes that no file leaves out, but a cut-down vocabulary might
         if missing := [b for b in range(256) if bytes([b]) not in self.ids]:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
+        self._compile_bytes()
 
     @classmethod
     def load(cls, path: str) -> Automaton:
@@ -112,20 +119,76 @@ class Automaton:
             until_a = min(until_a, self.birth[x])
             x = self.right[x]
 
+    def _compile_bytes(self) -> None:
+        """The table over bytes: per state its transitions, the longest arc that ends there, and per arc the next shorter one.
+
+        A state is what was read of the longest label that may still end here.
+        Transitions that leave a label are filled in when they are first taken.
+        """
+        self._goto: list[dict[int, int]] = [{}]
+        arc, parent = [-1], [(0, 0)]
+        for label, t in self.ids.items():
+            state = 0
+            for byte in label:
+                nxt = self._goto[state].get(byte)
+                if nxt is None:
+                    nxt = self._goto[state][byte] = len(self._goto)
+                    self._goto.append({})
+                    arc.append(-1)
+                    parent.append((state, byte))
+                state = nxt
+            arc[state] = t
+        self._fall, self.shorter = [0] * len(arc), [-1] * len(self.labels)
+        level = list(self._goto[0].values())
+        while level:  # shallow states first
+            deeper = []
+            for state in level:
+                before, byte = parent[state]
+                self._fall[state] = fall = self._step(self._fall[before], byte) if before else 0
+                if arc[state] < 0:
+                    arc[state] = arc[fall]
+                else:
+                    self.shorter[arc[state]] = arc[fall]
+                deeper.extend(self._goto[state].values())
+            level = deeper
+        self._arc = arc
+
+    def _step(self, state: int, byte: int) -> int:
+        nxt = self._goto[state].get(byte)
+        if nxt is None:
+            nxt = self._step(self._fall[state], byte) if state else 0
+            if state:
+                if len(self._more) > REMEMBERED_WORDS:
+                    self._more.clear()
+                self._more.setdefault(state, {})[byte] = nxt
+        return nxt
+
     def encode_word(self, word: bytes) -> list[int]:
         """The one path through the automaton whose labels make up the word."""
         n = len(word)
-        last, ids, longest = [-1] * (n + 1), self.ids, self.longest
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = ids.get(word[j:i])
-                if t is not None and (j == 0 or (last[j] >= 0 and self.may_follow(last[j], t))):
-                    last[i] = t
+        last, goto, more, arc, shorter, size, follows, state = [-1] * (n + 1), self._goto, self._more, self._arc, self.shorter, self._sizes, self._follows, 0
+        for i, byte in enumerate(word, 1):
+            nxt = goto[state].get(byte)
+            if nxt is None:
+                nxt = more[state].get(byte) if state in more else None
+                if nxt is None:
+                    nxt = self._step(state, byte)
+            state = nxt
+            t = arc[state]
+            while True:
+                j = i - size[t]
+                if not j:
+                    break
+                before = last[j]
+                ok = follows.get((before, t))
+                if self.may_follow(before, t) if ok is None else ok:
                     break
+                t = shorter[t]
+            last[i] = t
         out = []
         while n:
             out.append(last[n])
-            n -= len(self.labels[last[n]])
+            n -= size[last[n]]
         return out[::-1]
 
     def encode(self, text: str | None) -> list[int]:
@@ -150,12 +213,21 @@ class Automaton:
 
 
 _loaded: dict[str, Automaton] = {}
+_shipped: set[tuple[str, str]] = set()
+
+
+def _ship(path: str) -> None:
+    """Sends a vocabulary file along with the job, once a session, so it need only lie at the driver."""
+    spark = SparkSession.active()
+    if (spark.sparkContext.applicationId, path) not in _shipped and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _shipped.add((spark.sparkContext.applicationId, path))
 
 
 def automaton(path: str) -> Automaton:
     """The automaton of a file, compiled once per Python process."""
     if path not in _loaded:
-        _loaded[path] = Automaton.load(path)
+        _loaded[path] = Automaton.load(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _loaded[path]
 
 
@@ -166,11 +238,12 @@ def vocabulary(name: str = "byte_bpe_50k.json", folder: str | None = None) -> st
 def token_ids(text: Column, path: str | None = None) -> Column:
     """Token ids of a text column, without special tokens; null and empty give [].
 
-    ``path``: a byte-level BPE file that every executor can read. Whole texts are
+    ``path``: a byte-level BPE file at the driver; it is sent along with the job. Whole texts are
     encoded; a text as long as memory allows is fine. The vocabulary bounds the
     tables (50,000 merges take some 60 MB a worker).
     """
     path = path or vocabulary()
+    _ship(path)
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
@@ -181,16 +254,30 @@ def token_ids(text: Column, path: str | None = None) -> Column:
             offsets.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
-    return ids(text)
+    return ids.asNondeterministic()(text)  # or a filter on the ids would encode every text again
 
 
 def token_count(text: Column, path: str | None = None) -> Column:
     """How many token ids a text has; 0 for null and empty ones."""
     path = path or vocabulary()
+    _ship(path)
 
     @F.arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:
         encode = automaton(path).encode
         return pa.array([len(encode(t.as_py())) for t in texts], pa.int32())
 
-    return count(text)
+    return count.asNondeterministic()(text)
+
+
+def decoded(ids: Column, path: str | None = None) -> Column:
+    """The text that token ids stand for; null gives null, [] the empty text."""
+    path = path or vocabulary()
+    _ship(path)
+
+    @F.arrow_udf("string")
+    def texts(column: pa.Array) -> pa.Array:
+        decode = automaton(path).decode
+        return pa.array([None if x is None else decode(x) for x in column.to_pylist()], pa.string())
+
+    return texts(ids)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.functions.keys import plain_pmcid
-from evalweave.llm.bpe import token_count, token_ids
+from evalweave.llm.bpe import decoded, token_count, token_ids
 from evalweave.llm.charforms import inconsistent_values
 from evalweave.llm.mixing import Blend
 from evalweave.llm.overlap import cross_split_overlaps
@@ -65,6 +65,13 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("lang").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").cast("bigint").alias("n_tokens"))
 
 
+def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per language, and how many of them their ids decode to; null decodes to the empty text."""
+    ids = table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text"), token_ids(F.col("text")).alias("ids"))
+    same = ids.select("lang", F.col("text").eqNullSafe(decoded(F.col("ids"))).alias("same"))
+    return same.groupBy("lang").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("same").alias("n_same"))
+
+
 def _blend(spark: SparkSession, sf_dir: str) -> Blend:
     return Blend(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -99,7 +106,7 @@ def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_by_field, p4_found, p4_share, p5_found, p5_by_split_and_source, p7_ids, p7_counts, p8_blend, p8_shares, p8_shares_exact, p9_found, p9_by_source, p9_corpus)
+    for f in (p3_found, p3_by_field, p4_found, p4_share, p5_found, p5_by_split_and_source, p7_ids, p7_counts, p7_round_trip, p8_blend, p8_shares, p8_shares_exact, p9_found, p9_by_source, p9_corpus)
 }
 
 _PMCID = "'PMC' || nullif(regexp_replace(regexp_extract({0}, '(?i)^\\s*(?:PMC)?[^0-9A-Za-z]*([0-9]+)(?:\\.[0-9]+)?\\s*$', 1), '^0+([0-9])', '\\1'), '')"
@@ -122,4 +129,4 @@ SELECT DISTINCT split_name, pmcid_a, pmcid_b FROM (
 """
 
 #: The other queries are beyond SQL and tested against brute force, a library, round trips or held-out values.
-ORACLE: dict[str, str] = {"p5_found": _P5}
+ORACLE: dict[str, str] = {"p5_found": _P5, "p7_round_trip": "SELECT lang, count(*) AS n_documents, count(*) AS n_same FROM documents GROUP BY ALL"}

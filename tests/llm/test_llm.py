@@ -200,9 +200,26 @@ def test_ids_of_odd_texts(spark, library):
     for r in df.collect():
         want = library.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == want and r.n == len(want)
+    assert [(r.text or "") == r.back for r in df.select("text", bpe.decoded(F.col("ids")).alias("back")).collect()] == [True] * len(texts)
     assert df.limit(0).count() == 0
 
 
+def test_table_over_bytes():
+    """Each state names all labels that end there, the longest first."""
+    a = bpe.automaton(_PATH)
+    rng = random.Random(5)
+    for label in rng.sample([x for x in a.labels if x], 300):
+        text = rng.choice([b"", b" ", b"th", b"\xc3"]) + label
+        state = 0
+        for byte in text:
+            state = a._step(state, byte)
+        arc, found = a._arc[state], []
+        while arc >= 0:
+            found.append(a.labels[arc])
+            arc = a.shorter[arc]
+        assert found == [text[k:] for k in range(len(text)) if text[k:] in a.ids]
+
+
 def test_merge_gadgets_on_a_small_vocabulary():
     """All words over three letters against merging by rank."""
     labels = [bytes([b]) for b in range(256)]
