@@ -1,29 +1,36 @@
 """Texts that were cut off: found, and counted per source.
 
-Method: intact values are cut artificially to make positives; a logistic
-regression on hashed features (closing characters, punctuation, open
-structures, length to the limits at which many values end) is trained on them,
-and every record is scored.
+Method: a bounded sample of values is cut artificially to make positives; the
+values themselves are the negatives, without the few that fits on other values
+tell for cut. A logistic regression on hashed features (closing
+characters, punctuation, what the end leaves open, distance to the lengths at
+which many values end) is trained on them, and every record is scored. No rule
+says which values are intact.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier is fitted on at most this many intact values, the first by hash of their ids.
+#: The classifier is fitted on at most this many values, the first by hash.
 SAMPLE = 3000
-#: Only values up to this length are drawn for that; all lengths are scored.
-SAMPLE_LENGTH = 20_000
-#: At most so many lengths count as limits, those that most values have.
-MAX_LIMITS = 200
+#: A length is a limit when at least one value in so many has it, so there are no more limits than that.
+LIMIT_SHARE = 1000
+#: Cuts made of each sampled value.
+_CUTS = 2
+#: Rounds in which negatives that the other folds tell for cut are left out.
+_REFITS = 3
+_FOLDS = 5
 _BITS = 14
 
 _MARK = re.compile(r"(?:\s*(?:\[(?:output |response |text )?(?:truncated|cut off|cut|incomplete)\]|<(?:cut|truncated|eot)>|\((?:truncated|cut off)\)|…|\.{3,}|�))+\s*$", re.I)
@@ -32,7 +39,13 @@ _TOTAL = re.compile(r"^\s*total\s*[:=]\s*(\d+)\s*$", re.I | re.M)
 _END = re.compile(r"[.!?。！？][\"'”’»)\]]*$|[.!?]\s*\[\d+(?:[,–-]\s*\d+)*\]\.?$")
 
 
-def features(text: str, limits: frozenset[int]) -> list[str]:
+def to_limit(length: int, limits: list[int]) -> str:
+    """How far a length is below the next of the ascending limits: 0, a power of two, or none."""
+    k = bisect.bisect_left(limits, length)
+    return "none" if k == len(limits) else str((limits[k] - length).bit_length())
+
+
+def features(text: str, limits: list[int]) -> list[str]:
     """Names of the features of a text's end and of what it leaves open."""
     body = text.rstrip()
     mark = _MARK.search(body)
@@ -61,8 +74,8 @@ def features(text: str, limits: frozenset[int]) -> list[str]:
         f"{kind}:ticks={len(body) - len(body.rstrip('`'))}",
         f"quotes={quotes > 0}",
         f"mark={bool(mark)}",
-        f"limit={len(text) in limits}",
-        f"{kind}:limit={len(text) in limits}",
+        f"limit={to_limit(len(text), limits)}",
+        f"{kind}:limit={to_limit(len(text), limits) == '0'}",
         f"opened={opened}",
     ]
     if structured:
@@ -74,84 +87,68 @@ def features(text: str, limits: frozenset[int]) -> list[str]:
         out.append(f"tail:last={shape}:{tail[-2:-1] in '.!?'}")
         out.append(f"tail:paren={clip(tail.count('(') - tail.count(')'))}")
         out.append(f"tail:mark={bool(mark)}")
-    if kind == "list":
+    if kind == "list":  # such a list closes with its total
         total = _TOTAL.search(body[body.rfind("\n") + 1 :])
         out.append(f"list:total={'none' if not total else 'right' if int(total[1]) == items else 'wrong'}")
     return out
 
 
-def _intact(text: str) -> bool:
-    """Whether a value surely reaches its end; the rest isn't used for training."""
-    body = text.rstrip()
-    if not body or _MARK.search(body) or body.count("```") % 2:
-        return False
-    if "{" in text:
-        if text.count("{") != text.count("}") or text.count("[") != text.count("]"):
-            return False
-        after = body[body.rfind("}") + 1 :].strip(" \t\r\n`")
-        return not after or bool(_END.search(after))
-    items = len(_ITEM.findall(body))
-    if items >= 2:
-        total = _TOTAL.search(body[body.rfind("\n") + 1 :])
-        return bool(total) and int(total[1]) == items
-    return bool(_END.search(body))
-
-
 # Traces that a break may leave.
 _TRACES = ["", "", "", "", "", "", "", "…", "...", " ...", "[output truncated]", " [truncated]", " <cut>", "�", "\n"]
 
 
 def _cut(text: str, rng: random.Random, limits: list[int]) -> str | None:
-    """The value broken off somewhere, more often near the end; None where it still reads as intact."""
+    """The value broken off somewhere, more often near the end or at a limit; None where nothing is left."""
     n = len(text.rstrip())
-    at = [x for x in limits if 0 < x < n]
+    if n < 2:
+        return None
+    at = limits[: bisect.bisect_left(limits, n)]
     where = rng.choice(at) if at and rng.random() < 0.3 else max(1, n - 1 - int(rng.expovariate(8 / n))) if rng.random() < 0.3 else rng.randrange(1, n)
     piece = text[:where]
-    if not piece.strip() or _intact(piece):
-        return None
-    return piece + rng.choice(_TRACES)
+    return piece + rng.choice(_TRACES) if piece.strip() else None
+
+
+def _index(names: list[str]) -> list[int]:
+    return [zlib.crc32(x.encode()) & ((1 << _BITS) - 1) for x in names]
+
+
+def training_rows(text: str, limits: list[int], seed: int) -> list[tuple[bool, list[int]]]:
+    """Whether cut, and the features, of a value as it is (at times padded) and of cuts of it."""
+    if not text.strip():
+        return []
+    rng = random.Random(seed)
+    rows = [(False, _index(features(text + rng.choice(["", "", "", " ", "\n", "\n\n  "]), limits)))]
+    pieces = [p for _ in range(_CUTS) if (p := _cut(text, rng, limits))]
+    return rows + [(True, _index(features(p, sorted({*limits, len(p)}) if rng.random() < 0.3 else limits))) for p in pieces]
 
 
 class Classifier:
     """Logistic regression on hashed features."""
 
-    def __init__(self, weights: np.ndarray, limits: frozenset[int]) -> None:
+    def __init__(self, weights: np.ndarray, limits: list[int]) -> None:
         self.weights, self.limits = weights, limits
 
-    @staticmethod
-    def _index(names: list[str]) -> list[int]:
-        return [zlib.crc32(x.encode()) & ((1 << _BITS) - 1) for x in names]
-
     @classmethod
-    def fit(cls, intact: list[str], limits: frozenset[int], seed: int = 17, rounds: int = 400) -> Classifier:
-        """Negatives: the intact values, and some padded; positives: cuts of them."""
-        rng, ends = random.Random(seed), sorted(limits)
-        rows: list[tuple[list[int], float]] = []
-        for text in intact:
-            whole = text + rng.choice(["", "", "", " ", "\n", "\n\n  "])
-            rows.append((cls._index(features(whole, limits)), 0.0))
-            for _ in range(2):
-                if len(text.rstrip()) > 1 and (piece := _cut(text, rng, ends)):
-                    shown = limits | {len(piece)} if rng.random() < 0.3 else limits
-                    rows.append((cls._index(features(piece, frozenset(shown))), 1.0))
-        weights = np.zeros(1 << _BITS)
-        if not rows:
-            return cls(weights, limits)
-        used = sorted({k for x, _ in rows for k in x})
+    def fit(cls, rows: list[tuple[bool, list[int]]], limits: list[int]) -> Classifier | None:
+        """From labelled rows of features; None where no value could be cut, so that there is nothing to learn from."""
+        if not any(cut for cut, _ in rows):
+            return None
+        groups = sorted(Counter((cut, tuple(sorted(x))) for cut, x in rows).items())  # equal rows are one with a weight
+        used = sorted({k for (_, x), _ in groups for k in x})
         column = {k: c for c, k in enumerate(used)}
-        x = np.zeros((len(rows), len(used)))
-        for r, (names, _) in enumerate(rows):
-            x[r, [column[k] for k in names]] = 1.0
-        y = np.array([v for _, v in rows])
-        balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        w = np.zeros(len(used))
-        for _ in range(30):  # Newton steps with a ridge
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (balance * p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(used))
-            step = np.linalg.solve(h, x.T @ (balance * (y - p)) - 0.3 * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
-                break
+        x = np.zeros((len(groups), len(used)))
+        for r, ((_, found), _) in enumerate(groups):
+            x[r, [column[k] for k in found]] = 1.0
+        y, n = np.array([float(cut) for (cut, _), _ in groups]), np.array([float(k) for _, k in groups])
+        keep, fold = np.ones(len(groups), bool), np.arange(len(groups)) % _FOLDS
+        for _ in range(_REFITS):  # a value is judged by a fit that hasn't seen it
+            z = np.zeros(len(groups))
+            for k in range(_FOLDS):
+                others = keep & (fold != k)
+                z[fold == k] = x[fold == k] @ _newton(x[others], y[others], n[others])
+            keep = (y > 0) | (z <= 0)
+        w = _newton(x[keep], y[keep], n[keep])
+        weights = np.zeros(1 << _BITS)
         weights[used] = w
         return cls(weights, limits)
 
@@ -159,36 +156,69 @@ class Classifier:
         """The probability that a text was cut off; null for null and blank texts."""
         if text is None or not text.strip():
             return None
-        z = float(sum(self.weights[k] for k in self._index(features(text, self.limits))))
+        z = float(sum(self.weights[k] for k in _index(features(text, self.limits))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _newton(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression with a ridge on rows that occur ``n`` times, both classes weighing the same."""
+    balance = n * np.where(y > 0, 0.5 / max(1, (n * y).sum()), 0.5 / max(1, (n * (1 - y)).sum())) * n.sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (balance * p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (balance * (y - p)) - 0.3 * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def common_lengths(texts: DataFrame, text_col: str) -> DataFrame:
-    """Lengths that far more values have than the lengths around them: likely limits."""
+    """Lengths that far more values have than the lengths around them: likely limits.
+
+    At least five values and one in LIMIT_SHARE have each, so they are few.
+    """
     lengths = texts.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).groupBy(F.length(text_col).alias("n")).agg(F.count(F.lit(1)).alias("k"))
-    around = lengths.withColumn("band", F.expr("n div 50")).groupBy("band").agg(F.sum("k").alias("all"), F.count(F.lit(1)).alias("lengths"))
+    around = lengths.withColumn("band", F.expr("n div 50")).groupBy("band").agg(F.sum("k").alias("all"))
     near = lengths.withColumn("band", F.expr("n div 50")).join(around, "band")
+    total = lengths.agg(F.sum("k").alias("k")).first()["k"] or 0
     rest = (F.col("all") - F.col("k")) / F.lit(49.0)
-    return near.where((F.col("k") >= 5) & (F.col("k") >= 6 * rest)).select("n", "k")
+    return near.where((F.col("k") >= 5) & (F.col("k") >= 6 * rest) & (F.col("k") * LIMIT_SHARE >= total)).select("n", "k")
+
+
+def fit(values: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Classifier | None:
+    """A classifier from a bounded sample of the values of a table, of any length.
+
+    None without values, or where none can be cut. The sample's features are made
+    where the values lie; no text goes to the driver.
+    """
+    limits = sorted(r["n"] for r in common_lengths(values, text_col).collect())  # at most LIMIT_SHARE
+    hashed = values.where(F.trim(text_col) != "").select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).alias("_t"))
+    last = hashed.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h").alias("h")).first()["h"]
+    if last is None:
+        return None
+
+    def rows(batches):
+        for batch in batches:
+            made = [r for h, t in zip(batch.column(0).to_pylist(), batch.column(1)) for r in training_rows(t.as_py(), limits, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in made], pa.bool_()), pa.array([x for _, x in made], pa.list_(pa.int32()))], names=["cut", "x"])
 
+    drawn = hashed.where(F.col("_h") <= last).dropDuplicates(["_h"]).mapInArrow(rows, "cut boolean, x array<int>")
+    found = sorted((r["cut"], r["x"]) for r in drawn.collect())  # at most (1 + _CUTS) x sample rows of small numbers
+    return Classifier.fit(found, limits)
 
-def fit(values: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Classifier:
-    """A classifier from a bounded sample of the intact values of a table."""
-    limits = frozenset(r["n"] for r in common_lengths(values, text_col).orderBy(F.desc("k"), "n").limit(MAX_LIMITS).collect())
-    drawn = values.where(F.col(text_col).isNotNull() & F.length(text_col).between(2, SAMPLE_LENGTH))
-    if limits:
-        drawn = drawn.where(~F.length(text_col).isin(sorted(limits)))
-    drawn = drawn.select(text_col, F.xxhash64(F.col(id_col)).alias("_h"), F.col(id_col).alias("_id")).orderBy("_h", "_id").limit(2 * sample)
-    intact = [r[0] for r in drawn.collect() if _intact(r[0])][:sample]
-    return Classifier.fit(intact, limits)
 
+def cut_off_score(text: Column, classifier: Classifier | None) -> Column:
+    """The probability that a text was cut off; without a classifier null."""
+    if classifier is None:
+        return F.lit(None).cast("double")
 
-def cut_off_score(text: Column, classifier: Classifier) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         return pa.array([classifier.score(t.as_py()) for t in texts], pa.float64())
 
-    return score(text)
+    return score.asNondeterministic()(text)  # or a filter on the score would read every text again
 
 
 def scored(values: DataFrame, id_col: str, text_col: str, keep: list[str], threshold: float = 0.5, classifier: Classifier | None = None) -> DataFrame:

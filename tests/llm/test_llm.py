@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,17 +93,33 @@ def _outputs(n, seed):
 
 
 def test_truncation_on_held_out_values():
-    c = truncation.Classifier.fit(_outputs(600, 1), frozenset({300}))
+    learned = [r for k, t in enumerate(_outputs(600, 1) + [t[: len(t) // 2] for t in _outputs(60, 5)]) for r in truncation.training_rows(t, [300], k)]
+    c = truncation.Classifier.fit(learned, [300])
     rng = random.Random(9)
     whole = _outputs(300, 2)
-    cut = [p for t in whole if (p := truncation._cut(t, rng, [300]))]
-    right = sum(c.score(t) <= 0.5 for t in whole) + sum(c.score(t) > 0.5 for t in cut)
-    assert right / (len(whole) + len(cut)) > 0.99
+    cut = [p for t in whole if (p := truncation._cut(t, rng, [300])) and p.rstrip()[-1] not in ".]}`" and len(p.rstrip()) < len(t) - 1]
+    assert sum(c.score(t) <= 0.5 for t in whole) / len(whole) > 0.99 and sum(c.score(t) > 0.5 for t in cut) / len(cut) > 0.99
     assert c.score("  ") is None and c.score(None) is None
     assert c.score(_outputs(1, 3)[0] + " " * 500) < 0.5
     assert c.score('{"a": ' + "[1, " * 200_000) > 0.5
 
 
+def test_to_limit():
+    assert [truncation.to_limit(n, [100, 400]) for n in (100, 99, 97, 101, 401)] == ["0", "1", "2", "9", "none"]
+    assert truncation.Classifier.fit([(False, [1])], []) is None
+
+
+def test_many_limits(spark):
+    """More limits than 200 are all kept; values of any length are learned from."""
+    rows = [(k * 10 + i, "x" * (k * 60 + 25)) for k in range(1, 260) for i in range(10)]
+    got = truncation.common_lengths(spark.createDataFrame(rows, "i int, t string"), "t")
+    assert got.count() == 259
+    long = [(k, t * 300) for k, t in enumerate(_outputs(40, 6))]
+    df = spark.createDataFrame(long, "i int, t string")
+    assert min(len(t) for _, t in long) > 2_000 and truncation.fit(df, "i", "t") is not None
+    assert truncation.fit(df.limit(0), "i", "t") is None and truncation.scored(spark.createDataFrame([(1, "a")], "i int, t string"), "i", "t", []).first()["cut_off"] is False
+
+
 def test_scored(spark):
     rows = [(i, t, "m", "x") for i, t in enumerate(_outputs(120, 4))]
     rows += [(1000, '{"a": {"b": 1', "m", "x"), (1001, None, None, "x"), (1002, "", "m", "x"), (1003, "One sentence that never", "n", "x")]
@@ -261,7 +278,7 @@ def test_blend(spark):
     docs += [("x", "no source", None), ("y", None, "big"), ("z", "", "mid"), ("o", "other", "other")]
     d = spark.createDataFrame(docs, "doc_id string, text string, source string")
     t = spark.createDataFrame([("big", 0.3, 1), ("mid", 0.4, 4), ("small", 0.2, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
-    b = mixing.Blend(d, t, block_tokens=16, slots_per_shard=50, buckets=7)
+    b = mixing.Blend(d, t, block_tokens=16, slots_per_shard=50, part_tokens=500)
     rows = b.rows().collect()
     assert len(rows) == b.n_slots == len({(r.shard, r.slot) for r in rows})
     whole = {r.source: [] for r in rows}
@@ -280,18 +297,50 @@ def test_blend(spark):
     shares = {r.source: r for r in b.shares().collect()}
     assert shares["small"].repeats == pytest.approx(3, abs=0.05) and shares["none"].actual_share == 0
     assert shares["big"].actual_share / shares["mid"].actual_share == pytest.approx(0.75, abs=0.02) and sum(r.actual_share for r in shares.values()) == pytest.approx(1)
-    assert [tuple(r) for r in mixing.Blend(d, t, block_tokens=16, slots_per_shard=50, buckets=7).slots().orderBy("shard", "slot").collect()] == [tuple(r) for r in b.slots().orderBy("shard", "slot").collect()]
-    exact = {r.source: r.actual_share for r in mixing.Blend(d, t, "exact", block_tokens=4, buckets=7).shares().collect()}
+    assert [tuple(r) for r in mixing.Blend(d, t, block_tokens=16, slots_per_shard=50, part_tokens=500).slots().orderBy("shard", "slot").collect()] == [tuple(r) for r in b.slots().orderBy("shard", "slot").collect()]
+    exact = {r.source: r.actual_share for r in mixing.Blend(d, t, "exact", block_tokens=4, part_tokens=900).shares().collect()}
     assert exact["small"] == pytest.approx(2 / 9, abs=0.01) and exact["big"] == pytest.approx(3 / 9, abs=0.01)
     empty = mixing.Blend(d.limit(0), t)
     assert empty.rows().count() == 0 and empty.shares().count() == 4
     assert mixing.Blend(d, t.limit(0)).rows().count() == 0
 
 
+def test_blend_has_as_many_shards_as_it_needs(spark):
+    """Shards keep their size, draws are multinomial, and totals are still exact."""
+    d = spark.createDataFrame([(f"{s}{k}", "alpha beta gamma delta " * 20, s) for s, n in (("a", 150), ("b", 100), ("pubmed_central_a", 30), ("pubmed_central_b", 30)) for k in range(n)], "doc_id string, text string, source string")
+    t = spark.createDataFrame([("a", 0.4, 2), ("b", 0.4, 3), ("pubmed_central_a", 0.1, 1), ("pubmed_central_b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    blend = mixing.Blend(d, t, block_tokens=8, slots_per_shard=1)
+    assert blend.n_slots > 2001
+    slots = blend.slots().collect()
+    assert {r.shard for r in slots} == set(range(blend.n_slots)) and len(slots) == blend.n_slots and all(r.slot == 1 for r in slots)
+    used = {}
+    for r in slots:
+        used.setdefault(r.source, []).append((r["pass"], r.block))
+    assert {p.source: p.slots for p in blend.plans} == {s: len(x) for s, x in used.items()} and all(len(x) == len(set(x)) for x in used.values())
+    assert all(max(p for p, _ in used[q.source]) <= q.max_repeats for q in blend.plans)
+    # names with a common beginning get orders of their own
+    order = lambda s: [r.block for r in sorted(slots, key=lambda r: r.shard) if r.source == s]
+    assert order("pubmed_central_a") != order("pubmed_central_b")
+    drawn = mixing.Blend(d, t, block_tokens=8, slots_per_shard=100)._draws().where("s = 0").collect()
+    ks = [r.k for r in drawn]
+    assert len(set(ks)) > 5 and abs(sum(ks) / len(ks) - 40) < 4
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
-def test_affine_is_a_permutation(n):
-    a, c = mixing._affine(n, 17, 3, "src")
-    assert sorted((a * k + c) % n for k in range(n)) == list(range(n))
+def test_permuted_is_a_permutation(n):
+    x = np.arange(n)
+    orders = [mixing.permuted(x, np.full(n, n), np.full(n, k, np.uint64)) for k in (1, 2)]
+    assert all(sorted(o) == list(range(n)) for o in orders) and (n < 10 or list(orders[0]) != list(orders[1]))
+    if n == 1000:
+        assert len(set(np.diff(orders[0]).tolist())) > 300
+
+
+def test_permuted_far_out():
+    """Indices of 10^11 and 10^18 blocks."""
+    for n in (10**11, 10**18):
+        x = np.unique(np.concatenate([np.arange(50_000), n - 1 - np.arange(50_000), np.random.default_rng(1).integers(0, n, 50_000)]))
+        y = mixing.permuted(x, np.full(len(x), n), np.full(len(x), 7, np.uint64))
+        assert len(np.unique(y)) == len(x) and y.min() >= 0 and y.max() < n and abs(y.mean() / n - 0.5) < 0.01
 
 
 # --- 9: residue ---
