@@ -2,8 +2,8 @@
 
 The filter is a table of at most ``words`` rows (``word``, ``bits``): a key sets
 a few bits of one 64-bit word. It is built by one partial-then-final aggregate
-and probed by a hash join on the word, both inside generated code. Its size is
-fixed by ``words`` and never follows the data; with more keys than it has room
+and probed by a hash join on the word, both inside generated code. ``words_for``
+sizes it for a number of keys up to a limit; with more keys than it has room
 for, more keys pass as possible members and none is lost.
 """
 
@@ -12,8 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 2^17 words: 8.4 million bits, about 3 MB as a broadcast hash table.
+#: 2^17 words: 8.4 million bits, about 3 MB as a broadcast hash table; room for 500,000 keys.
 DEFAULT_WORDS = 1 << 17
+#: 2^22 words: 268 million bits, about 100 MB as a broadcast hash table; room for 17 million keys.
+MAX_WORDS = 1 << 22
+_KEYS_PER_WORD = 4
+
+
+def words_for(keys: DataFrame, key_col: str, least: int = 1 << 10, most: int = MAX_WORDS) -> int:
+    """Words for the distinct keys of a table, a power of two: some 3 percent of other keys pass, more only beyond ``most``."""
+    n = keys.agg(F.approx_count_distinct(key_col).alias("n")).first()["n"]
+    return min(most, max(least, 1 << max(0, (n // _KEYS_PER_WORD)).bit_length()))
 
 
 def _word(key: Column, words: int) -> Column:

@@ -4,11 +4,13 @@ Method: a broadcast Bloom filter of the parent keys proves definite orphans;
 only references that pass it are checked exactly.
 
 The exact check asks how many targets of a key are present at a time. It is a
-sweep in two levels, so a key with a third of all rows never meets in one task:
-changes are summed per key and hour first, their running total gives the number
-present when an hour begins, and only within a key's hour are changes and
-references put in order. Both sides may repeat a key as often as they like; no
-pairs of references and targets are made.
+sweep in two levels over the distinct times of a key, so a key with a third of
+all rows never meets in one task: changes are summed per key and time first, then
+per key and span of 16 seconds; running totals over the spans give the number
+present when one begins, and running totals within a span the number at a time.
+A span has at most 16 million distinct times and a decade 20 million spans. Both
+sides may repeat a key or a time as often as they like; no pairs of references
+and targets are made.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions.keys import file_key, plain_pmcid
-from evalweave.operators.bloom import DEFAULT_WORDS, bloom_filter, with_might_contain
+from evalweave.operators.bloom import bloom_filter, with_might_contain, words_for
 
 _NEVER = "9999-12-31 23:59:59"
+#: Seconds of a span: about the root of a decade's microseconds.
+_SPAN = 16
 
 
-def orphans(refs: DataFrame, targets: DataFrame, words: int = DEFAULT_WORDS) -> DataFrame:
+def orphans(refs: DataFrame, targets: DataFrame, words: int | None = None) -> DataFrame:
     """The references with no target present at their time, once each.
 
     refs: row_id, key, at. A null key is no reference; a null time stands for
@@ -30,30 +34,35 @@ def orphans(refs: DataFrame, targets: DataFrame, words: int = DEFAULT_WORDS) ->
     targets: key, start, end. Present from start, inclusive, to end, exclusive;
     a null end never comes, and without a start a target was never present.
     Result: row_id, at, proven (true: by the Bloom filter alone). Empty inputs
-    are fine: without targets all references are orphans.
+    are fine: without targets all references are orphans. ``words``: the size of
+    the filter; by default it follows the number of keys, up to a limit.
     """
     end_of_time = F.to_timestamp_ntz(F.lit(_NEVER))
     ref = refs.where("key is not null").select("row_id", "key", F.col("at").cast("timestamp_ntz").alias("at"))
     target = targets.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
     target = target.where("key is not null and start is not null and (end is null or end > start)")
 
+    words = words or words_for(target, "key")
     marked = with_might_contain(ref, "key", bloom_filter(target, "key", words), "maybe", words)
     proven = marked.where(~F.col("maybe")).select("row_id", "at", F.lit(True).alias("proven"))
 
-    hour = F.date_trunc("hour", F.col("t"))
     moves = target.select("key", F.col("start").alias("t"), F.lit(1).alias("d")).unionByName(
         target.where("end is not null").select("key", F.col("end").alias("t"), F.lit(-1).alias("d"))
     )
-    asks = marked.where("maybe").select("key", F.coalesce("at", end_of_time).alias("t"), F.lit(0).alias("d"), "row_id", "at", F.lit(True).alias("asks"))
-    steps = asks.unionByName(moves, allowMissingColumns=True).withColumn("h", hour)
-
-    hours = steps.groupBy("key", "h").agg(F.sum("d").alias("net"))
-    earlier = Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    at_start = hours.select("key", "h", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("present"))
-
-    so_far = Window.partitionBy("key", "h").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = steps.join(at_start, ["key", "h"]).withColumn("present", F.col("present") + F.sum("d").over(so_far))
-    late = swept.where("asks and present <= 0").select("row_id", "at", F.lit(False).alias("proven"))
+    asks = marked.where("maybe").select("row_id", "key", "at", F.coalesce("at", end_of_time).alias("t"))
+    steps = moves.withColumn("asked", F.lit(False)).unionByName(asks.select("key", "t", F.lit(0).alias("d"), F.lit(True).alias("asked")))
+    times = steps.groupBy("key", "t").agg(F.sum("d").alias("d"), F.bool_or("asked").alias("asked"))
+    # an interval, unlike a cast, doesn't depend on the session's time zone
+    times = times.withColumn("span", F.expr(f"floor(cast(cast(t - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) / {_SPAN})").cast("bigint"))
+
+    spans = times.groupBy("key", "span").agg(F.sum("d").alias("net"))
+    earlier = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    at_start = spans.select("key", "span", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("present"))
+
+    so_far = Window.partitionBy("key", "span").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = times.join(at_start, ["key", "span"]).withColumn("present", F.col("present") + F.sum("d").over(so_far))
+    absent = swept.where("asked and present <= 0").select("key", "t")
+    late = asks.join(absent, ["key", "t"], "left_semi").select("row_id", "at", F.lit(False).alias("proven"))
     return proven.unionByName(late).dropDuplicates(["row_id", "at"])
 
 
@@ -62,7 +71,7 @@ def _article_key(c: Column) -> Column:
     return F.coalesce(plain_pmcid(c), F.nullif(F.upper(F.regexp_replace(c, r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", "")), F.lit("")))
 
 
-def orphan_references(record_results: DataFrame, articles: DataFrame, xml_files: DataFrame, words: int = DEFAULT_WORDS) -> DataFrame:
+def orphan_references(record_results: DataFrame, articles: DataFrame, xml_files: DataFrame, words: int | None = None) -> DataFrame:
     """Orphans of record_results (to articles) and of articles (to xml_files).
 
     Columns: table_name, row_id, month (of the reference's time), proven.

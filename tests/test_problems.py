@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.gtjson import isolates, read_json
 from evalweave.functions.keys import file_key, plain_pmcid
-from evalweave.operators.bloom import bloom_filter, with_might_contain
+from evalweave.operators.bloom import bloom_filter, with_might_contain, words_for
 from evalweave.operators.nested import dewey_nodes, related_tables, schema_path
 from evalweave.operators.packed import packed_items, split_values
 from evalweave.operators.references import orphan_references, orphans, orphans_by_month
@@ -121,6 +121,11 @@ def test_bloom_has_no_false_negatives(spark):
     assert with_might_contain(probe, "key", bloom_filter(keys.limit(0), "key"), "m").where("m").count() == 0
 
 
+def test_words_follow_the_keys(spark):
+    assert [words_for(spark.range(n).select(F.col("id").cast("string").alias("k")), "k") for n in (0, 100, 100_000)] == [1024, 1024, 32768]
+    assert words_for(spark.range(100_000), "id", most=4096) == 4096
+
+
 def _t(x):
     return None if x is None else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=x)
 
@@ -145,6 +150,22 @@ def test_orphans_of_a_hot_key(spark):
     assert orphans(refs, targets).count() == 10000
 
 
+def test_orphans_of_a_backfill(spark):
+    """A hot key whose references all have one time, or lie within one second; and times before 1970 in a zone with summer time."""
+    at = "timestamp_ntz '2024-03-31 02:30:00' + make_interval(0,0,0,0,0,0, id % 3 * 0.25)"
+    refs = spark.range(30000).select(F.col("id").alias("row_id"), F.lit("hot").alias("key"), F.expr(at).alias("at"))
+    one = "select 'hot' as key, timestamp_ntz '2024-03-31 02:30:00.25' as start, timestamp_ntz '2024-03-31 02:30:00.5' as end"
+    assert orphans(refs, spark.sql(one)).count() == 20000
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        odd = spark.sql("select * from values (1, 'k', timestamp_ntz '2024-03-31 02:59:00'), (2, 'k', timestamp_ntz '2024-03-31 03:00:30'), (3, 'k', timestamp_ntz '1955-01-01 00:00:00.5') as t(row_id, key, at)")
+        target = spark.sql("select * from values ('k', timestamp_ntz '2024-03-31 03:00:00', null), ('k', timestamp_ntz '1955-01-01 00:00:00.5', timestamp_ntz '1955-01-01 00:00:01') as t(key, start, end)")
+        assert [r.row_id for r in orphans(odd, target).collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_orphan_references(spark):
     rr = spark.createDataFrame([(1, " pmc1.2", _t(5), "x"), (1, " pmc1.2", _t(5), "x"), (2, "PMC2", _t(5), "x"), (3, " ", _t(5), "x")], "result_id bigint, pmcid string, evaluated_at timestamp_ntz, key string")
     a = spark.createDataFrame([(7, "PMC1", "/x/F.xml", _t(5), None), (8, "PMC3", None, _t(1), None), (9, "PMC4", "gone.xml", _t(1), None)], "article_id bigint, pmcid string, xml_filepath string, loaded_at timestamp_ntz, withdrawn_at timestamp_ntz")
