@@ -259,6 +259,18 @@ def split_memberships(records: DataFrame, experiments: DataFrame, catalog: DataF
     return flat.groupBy("id").agg(F.collect_set("split_name").alias("eval_splits"), F.bool_or(F.col("split_name").isNull()).alias("in_train"))
 
 
+def _near(records: DataFrame, experiments: DataFrame, catalog: DataFrame, documents: DataFrame, threshold: float, width: int, sketch_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memberships of the articles in splits; the classes of their texts; and the classes that are near one another, both ways."""
+    members_of = checkpointed(split_memberships(records, experiments, catalog))
+    texts = documents.where("doc_type = 'article' and text is not null").select(plain_pmcid(F.col("pmcid")).alias("id"), "text").where("id is not null")
+    sides = members_of.select("id", (F.size("eval_splits") > 0).alias("left"), F.col("in_train").alias("right"))
+    pairs, members = near_same(texts, sides, threshold, width, sketch_bits)
+    ways = pairs.select(F.col("class_a").alias("ce"), F.col("class_b").alias("ct"), "similarity").unionByName(
+        pairs.where("class_a <> class_b").select(F.col("class_b").alias("ce"), F.col("class_a").alias("ct"), "similarity")
+    )
+    return members_of, members, ways
+
+
 def cross_split_overlaps(records: DataFrame, experiments: DataFrame, catalog: DataFrame, documents: DataFrame, threshold: float = 0.5, width: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """All overlaps of evaluation splits with training splits, in plain article numbers.
 
@@ -266,17 +278,26 @@ def cross_split_overlaps(records: DataFrame, experiments: DataFrame, catalog: Da
     the same number). The result names every pair of articles, copies included,
     since that is its definition; the join before it works on classes.
     """
-    members_of = checkpointed(split_memberships(records, experiments, catalog))
-    texts = documents.where("doc_type = 'article' and text is not null").select(plain_pmcid(F.col("pmcid")).alias("id"), "text").where("id is not null")
-    sides = members_of.select("id", (F.size("eval_splits") > 0).alias("left"), F.col("in_train").alias("right"))
-    pairs, members = near_same(texts, sides, threshold, width, sketch_bits)
-
+    members_of, members, ways = _near(records, experiments, catalog, documents, threshold, width, sketch_bits)
     known = members.join(members_of, "id")
     evals = known.where(F.size("eval_splits") > 0).select(F.col("class_id").alias("ce"), F.col("id").alias("eval_pmcid"), "eval_splits")
     trains = known.where("in_train").select(F.col("class_id").alias("ct"), F.col("id").alias("train_pmcid"))
-    ways = pairs.select(F.col("class_a").alias("ce"), F.col("class_b").alias("ct"), "similarity").unionByName(
-        pairs.where("class_a <> class_b").select(F.col("class_b").alias("ce"), F.col("class_a").alias("ct"), "similarity")
-    )
     near = ways.join(evals, "ce").join(trains, "ct").where("eval_pmcid <> train_pmcid").select(F.explode("eval_splits").alias("split_name"), "eval_pmcid", "train_pmcid", "similarity")
     same = members_of.where(F.col("in_train")).select(F.explode("eval_splits").alias("split_name"), F.col("id").alias("eval_pmcid"), F.col("id").alias("train_pmcid"), F.lit(1.0).alias("similarity"))
     return near.unionByName(same)
+
+
+def overlap_counts(records: DataFrame, experiments: DataFrame, catalog: DataFrame, documents: DataFrame, threshold: float = 0.5, width: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """How many training articles each evaluation article overlaps with, from the sizes of classes.
+
+    Columns: split_name, eval_pmcid, n (1 or more). Counts what
+    ``cross_split_overlaps`` lists, without making its pairs.
+    """
+    members_of, members, ways = _near(records, experiments, catalog, documents, threshold, width, sketch_bits)
+    in_class = members.join(members_of.where("in_train").select("id"), "id", "left_semi").groupBy(F.col("class_id").alias("ct")).agg(F.count(F.lit(1)).alias("k"))
+    # a class that is near itself counts the article itself where that is in training, too
+    near = ways.join(in_class, "ct").groupBy("ce").agg(F.sum("k").alias("k"), F.bool_or(F.col("ce") == F.col("ct")).alias("own"))
+    rows = members_of.where(F.size("eval_splits") > 0).join(members.select("id", F.col("class_id").alias("ce")), "id", "left").join(near, "ce", "left")
+    itself = F.when(F.col("in_train") & ~F.coalesce("own", F.lit(False)), 1).otherwise(0)
+    counted = rows.select(F.explode("eval_splits").alias("split_name"), F.col("id").alias("eval_pmcid"), (F.coalesce("k", F.lit(0)) + itself).alias("n"))
+    return counted.where("n > 0")

@@ -9,7 +9,7 @@ from evalweave.functions.keys import plain_pmcid
 from evalweave.llm.bpe import decoded, token_count, token_ids
 from evalweave.llm.charforms import inconsistent_values
 from evalweave.llm.mixing import Blend
-from evalweave.llm.overlap import cross_split_overlaps
+from evalweave.llm.overlap import cross_split_overlaps, overlap_counts
 from evalweave.llm.residue import with_residue
 from evalweave.llm.truncation import cut_off_share, scored
 from evalweave.session import table
@@ -37,18 +37,17 @@ def p4_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_off_share(_scored(spark, sf_dir), "model_id")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_split_overlaps(*(table(spark, sf_dir, t) for t in ("record_results", "gepa_experiments", "split_catalog", "documents")))
+_SPLIT_TABLES = ("record_results", "gepa_experiments", "split_catalog", "documents")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _overlaps(spark, sf_dir)
+    found = cross_split_overlaps(*(table(spark, sf_dir, t) for t in _SPLIT_TABLES))
     return found.select("split_name", F.least("eval_pmcid", "train_pmcid").alias("pmcid_a"), F.greatest("eval_pmcid", "train_pmcid").alias("pmcid_b")).distinct()
 
 
 def p5_by_split_and_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluated articles that overlap with training, per split and source of their text."""
-    found = _overlaps(spark, sf_dir).groupBy("split_name", F.col("eval_pmcid").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    found = overlap_counts(*(table(spark, sf_dir, t) for t in _SPLIT_TABLES)).withColumnRenamed("eval_pmcid", "k")
     documents = table(spark, sf_dir, "documents").where("doc_type = 'article'")
     sources = documents.select(plain_pmcid(F.col("pmcid")).alias("k"), "source").where("k is not null").groupBy("k").agg(F.min("source").alias("source"))
     joined = found.join(sources, "k", "left")
@@ -111,7 +110,7 @@ QUERIES = {
 
 _PMCID = "'PMC' || nullif(regexp_replace(regexp_extract({0}, '(?i)^\\s*(?:PMC)?[^0-9A-Za-z]*([0-9]+)(?:\\.[0-9]+)?\\s*$', 1), '^0+([0-9])', '\\1'), '')"
 
-_P5 = f"""
+_NEAR = f"""
 WITH ex AS (SELECT DISTINCT experiment_id, split_name FROM gepa_experiments WHERE experiment_id IS NOT NULL AND split_name IS NOT NULL),
 m AS (SELECT DISTINCT {_PMCID.format("pmcid")} AS k, split_name, split_role FROM record_results JOIN ex USING (experiment_id)
   JOIN (SELECT DISTINCT split_name, split_role FROM split_catalog) USING (split_name)),
@@ -122,11 +121,24 @@ s AS (SELECT DISTINCT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (S
 n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
 c AS (SELECT x.k AS a, y.k AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.k < y.k GROUP BY ALL),
 near AS (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 2 * o >= x.n + y.n - o)
-SELECT DISTINCT split_name, pmcid_a, pmcid_b FROM (
+"""
+
+_P5 = (
+    _NEAR
+    + """SELECT DISTINCT split_name, pmcid_a, pmcid_b FROM (
   SELECT split_name, k AS pmcid_a, k AS pmcid_b FROM ev JOIN tr USING (k)
   UNION ALL SELECT split_name, a, b FROM near JOIN ev ON ev.k = a JOIN tr ON tr.k = b
-  UNION ALL SELECT split_name, a, b FROM near JOIN ev ON ev.k = b JOIN tr ON tr.k = a)
-"""
+  UNION ALL SELECT split_name, a, b FROM near JOIN ev ON ev.k = b JOIN tr ON tr.k = a)"""
+)
+
+_P5_COUNTS = (
+    _NEAR
+    + f""", found AS (SELECT split_name, k, k AS t FROM ev JOIN tr USING (k)
+  UNION ALL SELECT split_name, a, b FROM near JOIN ev ON ev.k = a JOIN tr ON tr.k = b
+  UNION ALL SELECT split_name, b, a FROM near JOIN ev ON ev.k = b JOIN tr ON tr.k = a),
+src AS (SELECT {_PMCID.format("pmcid")} AS k, min(source) AS source FROM documents WHERE doc_type = 'article' GROUP BY ALL)
+SELECT split_name, source, count(DISTINCT k) AS n_articles, count(*) AS n_overlaps FROM found LEFT JOIN src USING (k) GROUP BY ALL"""
+)
 
 #: The other queries are beyond SQL and tested against brute force, a library, round trips or held-out values.
-ORACLE: dict[str, str] = {"p5_found": _P5, "p7_round_trip": "SELECT lang, count(*) AS n_documents, count(*) AS n_same FROM documents GROUP BY ALL"}
+ORACLE: dict[str, str] = {"p5_found": _P5, "p5_by_split_and_source": _P5_COUNTS, "p7_round_trip": "SELECT lang, count(*) AS n_documents, count(*) AS n_same FROM documents GROUP BY ALL"}

@@ -179,6 +179,12 @@ def test_cross_split_overlaps(spark):
     c = spark.createDataFrame([("hold", "eval"), ("train", "train")], "split_name string, split_role string")
     got = {(x.split_name, x.eval_pmcid, x.train_pmcid) for x in overlap.cross_split_overlaps(r, e, c, d, sketch_bits=12).collect()}
     assert got == {("hold", "PMC1", "PMC2"), ("hold", "PMC3", "PMC3")}
+    assert {tuple(x) for x in overlap.overlap_counts(r, e, c, d, sketch_bits=12).collect()} == {("hold", "PMC1", 1), ("hold", "PMC3", 1)}
+    copies = spark.createDataFrame([(f"PMC{k}", "u v w x y z", "article") for k in range(10, 16)], "pmcid string, text string, doc_type string")
+    both = spark.createDataFrame([(f"PMC{k}", x) for k in range(10, 16) for x in (["e1", "t1"] if k < 12 else ["e1"] if k < 14 else ["t1"])], "pmcid string, experiment_id string")
+    listed = overlap.cross_split_overlaps(both, e, c, copies, sketch_bits=12).groupBy("split_name", "eval_pmcid").count()
+    assert {tuple(x) for x in overlap.overlap_counts(both, e, c, copies, sketch_bits=12).collect()} == {tuple(x) for x in listed.collect()} == {("hold", f"PMC{k}", 4) for k in range(10, 14)}
+    assert overlap.overlap_counts(r.limit(0), e, c, d, sketch_bits=12).count() == 0
     assert overlap.cross_split_overlaps(r.limit(0), e, c, d, sketch_bits=12).count() == 0
     assert overlap.cross_split_overlaps(r, e, c, d.limit(0), sketch_bits=12).count() == 1
 
