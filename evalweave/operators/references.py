@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions.keys import file_key, plain_pmcid
 from evalweave.operators.bloom import bloom_filter, with_might_contain, words_for
+from evalweave.session import checkpointed
 
 _NEVER = "9999-12-31 23:59:59"
 #: Seconds of a span: about the root of a decade's microseconds.
@@ -42,8 +43,9 @@ def orphans(refs: DataFrame, targets: DataFrame, words: int | None = None) -> Da
     target = targets.select("key", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
     target = target.where("key is not null and start is not null and (end is null or end > start)")
 
+    target = checkpointed(target)  # keys are read off their texts once
     words = words or words_for(target, "key")
-    marked = with_might_contain(ref, "key", bloom_filter(target, "key", words), "maybe", words)
+    marked = checkpointed(with_might_contain(ref, "key", bloom_filter(target, "key", words), "maybe", words))
     proven = marked.where(~F.col("maybe")).select("row_id", "at", F.lit(True).alias("proven"))
 
     moves = target.select("key", F.col("start").alias("t"), F.lit(1).alias("d")).unionByName(
