@@ -510,17 +510,31 @@ def article_sections(spark, sf_dir):
     return rows.select("article_id", "a.title", F.size("a.sections").alias("n_sections"), F.size("a.tables").alias("n_tables"), text.composed_input(F.col("a.sections"), F.col("a.tables")).alias("input"))
 
 
-@query()
+_CODES = f"""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{accession.CANDIDATE}', 1))) AS code FROM documents)
+"""
+_RULES = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in accession.rule_rows())
+_OWN = ", ".join(repr(r[0]) for r in accession.rule_rows() if r[0] == r[1] and len(r[0]) > 2)
+_REFSEQ = ", ".join(map(repr, accession.REFSEQ))
+
+
+@query(
+    _CODES
+    + f""", d AS (SELECT doc_id, code, regexp_extract(code, '^([A-Z]+)', 1) AS prefix, length(regexp_extract(regexp_replace(code, '\\.\\d+$', ''), '(\\d+)$', 1))::INTEGER AS n_digits,
+  cast(nullif(regexp_extract(code, '\\.(\\d+)$', 1), '') AS INTEGER) AS version, contains(code, '_') AS is_refseq FROM c),
+u AS (SELECT * FROM d WHERE prefix NOT IN ('DO', 'EO', 'GI')), r(lo, hi, n, least, most, partner, seq_type) AS (VALUES {_RULES}), s(prefix, seq_type) AS (VALUES {_REFSEQ})
+SELECT u.*, partner, seq_type FROM u JOIN r ON length(prefix) = n AND prefix BETWEEN lo AND hi AND n_digits BETWEEN least AND coalesce(most, 12)
+  WHERE NOT is_refseq AND (lo = hi OR prefix NOT IN ({_OWN}))
+UNION ALL SELECT u.*, 'NCBI', seq_type FROM u JOIN s USING (prefix) WHERE is_refseq"""
+)
 def accessions_found(spark, sf_dir):
-    """ACC-01 to ACC-05: accession numbers of document texts by rule."""
+    """ACC-01 to ACC-05: accession numbers of document texts by rule, with partner and kind."""
     return accession.classified(accession.candidates(table(spark, sf_dir, "documents"), "doc_id", "text"), spark)
 
 
-@query("""SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b(ZQ[A-F][0-9]{7})\\b', 1))) AS code FROM documents WHERE text IS NOT NULL""")
+@query(_CODES + "SELECT doc_id, code FROM c")
 def accession_codes(spark, sf_dir):
-    """ACC-05, SET-02: project codes of each text, each once."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(ZQ[A-F][0-9]{7})\b"), F.lit(1)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("code"))
+    """ACC-05, SET-02: all letter-digit codes of each text, each once."""
+    return accession.candidates(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "code")
 
 
 @query("""WITH r AS (SELECT o_orderkey, 'MH' || lpad(cast(o_orderkey AS VARCHAR), 6, '0') || '–MH' || lpad(cast(o_orderkey + o_custkey % 7 AS VARCHAR), 6, '0') AS rng, o_custkey % 7 AS k FROM orders)
@@ -532,11 +546,23 @@ def accession_ranges(spark, sf_dir):
     return accession.expanded(rows, "rng")
 
 
-@query()
+@query(f"""WITH x AS (SELECT DISTINCT extraction_id, regexp_replace(raw_model_output, '\\r', '', 'g') AS t FROM extraction_results),
+l AS (SELECT extraction_id, unnest(regexp_extract_all(t, '{accession.LIST_LINE.replace("'", "''")}', 1)) AS line FROM x)
+SELECT DISTINCT extraction_id, unnest(regexp_extract_all(upper(line), '[A-Z]+_?[A-Z]*\\d+(?:\\.\\d+)?')) AS accession FROM l""")
 def output_accessions(spark, sf_dir):
-    """JSN-09, JSN-10: accessions listed in raw outputs."""
-    rows = table(spark, sf_dir, "extraction_results").where("raw_model_output like 'Accessions%'").select("extraction_id", "raw_model_output").distinct()
-    return rows.select("extraction_id", F.explode(accession.listed(F.regexp_replace("raw_model_output", r"(?m)^(?:Accessions|Total:.*)$", ""))).alias("accession"))
+    """JSN-10: accessions listed in raw outputs of any form."""
+    rows = table(spark, sf_dir, "extraction_results").select("extraction_id", accession.listed_in_output(F.col("raw_model_output")).alias("a"))
+    return rows.where(F.size("a") > 0).distinct().select("extraction_id", F.explode("a").alias("accession"))
+
+
+@query("""WITH x AS (SELECT DISTINCT extraction_id, raw_model_output AS t FROM extraction_results WHERE raw_model_output IS NOT NULL),
+v AS (SELECT extraction_id, trim(unnest(regexp_split_to_array(t, '[,\n\r]')), ' ') AS value FROM x)
+SELECT extraction_id, count(*) AS n_values, count(DISTINCT value) AS n_distinct FROM v WHERE value <> '' GROUP BY ALL""")
+def output_values(spark, sf_dir):
+    """JSN-09: outputs read as plain lists, cut at commas and lines."""
+    rows = table(spark, sf_dir, "extraction_results").where("raw_model_output is not null").select("extraction_id", "raw_model_output").distinct()
+    v = rows.select("extraction_id", accession.parsed_list(F.col("raw_model_output")).alias("v")).where(F.size("v") > 0)
+    return v.select("extraction_id", F.size("v").cast("bigint").alias("n_values"), F.size(F.array_distinct("v")).cast("bigint").alias("n_distinct"))
 
 
 # --- susceptibility notations, legend, maintenance ---------------------------------------------------------

@@ -159,14 +159,23 @@ def test_ast_formats(spark):
 
 
 def test_accessions(spark):
-    df = spark.createDataFrame([(1, "MH548440.2, SRR123456, SAMN01234567, PRJNA12345678, TP53, NM_001234567.3, DO123456, AAAA02012345")], "id int, t string")
-    got = {r.code: r.family for r in accession.classified(accession.candidates(df, "id", "t"), spark).collect()}
-    assert got == {"MH548440.2": "nucleotide", "SRR123456": "sra", "SAMN01234567": "sample", "PRJNA12345678": "project", "NM_001234567.3": "refseq", "AAAA02012345": "wgs"}
-    table = "| Prefix | Partner | Type | Format |\n| MH, MK | NCBI | Direct | 2+6 |\n| ZAAA-ZZZZ | DDBJ | TLS | 4+8 or more |"
-    given = {r.prefix_lo: r for r in accession.rules(spark, table).collect()}
-    assert given["MH"].partner == "NCBI" and given["ZAAA"].max_digits is None and "AA" not in given
-    ranges = spark.createDataFrame([("MH548440–MH548519",), ("AB1-AC3",), ("X9",)], "r string")
-    assert accession.expanded(ranges, "r").groupBy("r").count().orderBy("r").collect()[1]["count"] == 80
+    df = spark.createDataFrame([(1, "MH548440.2, SRR123456, SAMN01234567, PRJNA12345678, TP53, NM_001234567.3, DO123456, AAAA02012345, AB123456, GJ123456, ZQ123456, SAMEA1234567")], "id int, t string")
+    got = {r.code: (r.partner, r.seq_type) for r in accession.classified(accession.candidates(df, "id", "t"), spark).collect()}
+    assert got == {
+        "MH548440.2": ("NCBI", "Direct submissions"), "SRR123456": ("NCBI", "SRA runs"), "SAMN01234567": ("NCBI", "BioSample"), "PRJNA12345678": ("NCBI", "BioProject"), "NM_001234567.3": ("NCBI", "mRNA"),
+        "AAAA02012345": ("NCBI", "WGS"), "AB123456": ("DDBJ", "Direct submissions"), "GJ123456": ("NCBI", "TPA CON"), "SAMEA1234567": ("EBI", "BioSample"),
+    }
+    table = "| Prefix | Partner | Type | Format |\n| ZAAA-ZZZZ | DDBJ | TLS | 4+8 or more |\n\n| Prefix | Partner | Notes |\n| MH, MK | XX | Direct |"
+    given = {(r.prefix_lo, r.n_letters): r for r in accession.rules(spark, table).collect()}
+    assert given["MH", 2].partner == "XX" and given["MH", 2].min_digits == 6 and given["ZAAA", 4].max_digits is None and given["AB", 2].partner == "DDBJ"
+    assert len({(r[0], r[2], r[3]) for r in accession.rule_rows()}) == len(accession.rule_rows()) > 400
+    ranges = spark.createDataFrame([("MH548440–MH548519", 1), ("AB1-AC3", 2), ("X9", 3), ("Q000001-200000", 4), (None, 5)], "r string, _n int")
+    got = accession.expanded(ranges, "r")
+    assert {r["_n"]: r["count"] for r in got.groupBy("_n").count().collect()} == {1: 80, 2: 1, 3: 1, 4: 200_000, 5: 1} and got.columns == ["r", "_n", "accession"]
+    assert got.where("_n = 4").agg(F.min("accession"), F.max("accession")).first()[:] == ("Q000001", "Q200000") and got.where("_n = 2").first()["accession"] == "AB1-AC3"
+    listed = "```\r\n accessions:\r\n1. zq1234567\r\n- ZQ1234568.1, 'AB123456'\r\nWe found ZQ7654321 in a table.\r\nTotal: 3\r\n```"
+    assert one(spark, listed, accession.listed_in_output) == ["ZQ1234567", "ZQ1234568.1", "AB123456"] and one(spark, None, accession.listed_in_output) == []
+    assert one(spark, "11AB1, b2,,\n0c0", accession.parsed_list) == ["11AB1", "b2", "0c0"]
     assert one(spark, "- ab123456 note|x\nnone found\nAB123456, q", accession.listed) == ["AB123456"]
 
 
