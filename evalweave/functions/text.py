@@ -50,18 +50,56 @@ def unify_dashes(c: Column) -> Column:
     return F.translate(c, "‒–—―−", "-----")
 
 
-# Characters that are deleted, and characters with a plain spelling.
-_DELETED = "\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2066\u2067\u2068\u2069\ufeff\u00ad\u2020"
-_SPELLED = {"\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u3000": " ", "\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2010": "-", "\u2011": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u2012": "-", "\u00d7": "x", "\u2028": "\n", "\u2029": "\n"}
-_LONGER = {"\u2122": "(TM)"}
+# Code point, what it is, and its plain spelling; '' where it is deleted.
+PROBLEM_CHARACTERS = [
+    (0x00A0, "no-break space", " "),
+    (0x200B, "zero-width space", ""),
+    (0x200C, "zero-width non-joiner", ""),
+    (0x200D, "zero-width joiner", ""),
+    (0x200E, "left-to-right mark", ""),
+    (0x200F, "right-to-left mark", ""),
+    (0x202A, "left-to-right embedding", ""),
+    (0x202B, "right-to-left embedding", ""),
+    (0x202C, "end of embedding", ""),
+    (0x202D, "left-to-right override", ""),
+    (0x202E, "right-to-left override", ""),
+    (0x2060, "word joiner", ""),
+    (0xFEFF, "byte order mark", ""),
+    (0x00AD, "soft hyphen", ""),
+    (0x2028, "line separator", "\n"),
+    (0x2029, "paragraph separator", "\n"),
+    (0x2019, "right quote", "'"),
+    (0x2018, "left quote", "'"),
+    (0x201C, "left double quote", '"'),
+    (0x201D, "right double quote", '"'),
+    (0x2010, "hyphen", "-"),
+    (0x2011, "no-break hyphen", "-"),
+    (0x2012, "figure dash", "-"),
+    (0x2013, "en dash", "-"),
+    (0x2014, "em dash", "-"),
+    (0x2212, "minus sign", "-"),
+    (0x2020, "dagger", ""),
+    (0x2122, "trade mark", "(TM)"),
+    (0x00D7, "multiplication sign", "x"),
+    # beyond those: more blanks, and marks that isolate a direction
+    (0x2009, "thin space", " "),
+    (0x202F, "narrow no-break space", " "),
+    (0x3000, "ideographic space", " "),
+    (0x2066, "left-to-right isolate", ""),
+    (0x2067, "right-to-left isolate", ""),
+    (0x2068, "first strong isolate", ""),
+    (0x2069, "end of isolate", ""),
+]
 
 
 def plain_characters(c: Column) -> Column:
     """Invisible characters deleted, typographic ones as ASCII."""
-    spelled = "".join(_SPELLED)
-    out = F.translate(c, spelled + _DELETED, "".join(_SPELLED.values()))
-    for ch, plain in _LONGER.items():
-        out = F.replace(out, F.lit(ch), F.lit(plain))
+    single = {chr(p): plain for p, _, plain in PROBLEM_CHARACTERS if len(plain) == 1}
+    deleted = "".join(chr(p) for p, _, plain in PROBLEM_CHARACTERS if not plain)
+    out = F.translate(c, "".join(single) + deleted, "".join(single.values()))
+    for p, _, plain in PROBLEM_CHARACTERS:
+        if len(plain) > 1:
+            out = F.replace(out, F.lit(chr(p)), F.lit(plain))
     return out
 
 
@@ -71,7 +109,7 @@ def occurrences(c: Column, what: str) -> Column:
 
 def problem_characters() -> list[tuple[str, str, str]]:
     """The dimension of characters that are counted: kind, character, spelling."""
-    return [("deleted", c, "") for c in _DELETED] + [("spelled", c, p) for c, p in (_SPELLED | _LONGER).items()]
+    return [("spelled" if plain else "deleted", chr(p), plain) for p, _, plain in PROBLEM_CHARACTERS]
 
 
 def safe_text(c: Column) -> Column:
@@ -155,7 +193,7 @@ def message_lines(*messages: Column) -> Column:
 def title_case(c: Column) -> Column:
     """A capital after everything that is no letter, small letters elsewhere."""
     pieces = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, F.initcap), "")
+    return F.array_join(F.transform(pieces, lambda x: F.initcap(x)), "")
 
 
 def search_query(pathogen: str, terms: list[str]) -> str:

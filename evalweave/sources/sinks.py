@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from evalweave.operators.scoring import aggregate, confusion
 
+# The columns of a results file.
 RESULT_COLUMNS = "pmcid gt_category ext_category category_correct tp fp fn precision recall primary_f1 loose_tp loose_fp loose_fn loose_f1 gt_item_count ext_item_count error_message".split()
 
 

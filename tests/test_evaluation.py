@@ -108,6 +108,8 @@ def test_outputs_are_read():
     good = {"category": "IWL", "isolates_with_linking": {"a": {"mlst": "ST1"}}}
     for raw in (json.dumps(good), "```json\n" + json.dumps(good) + "\n```", "Here: " + json.dumps(good) + " end", json.dumps(good)[:-1] + ",}"):
         assert items.read_output(raw) == good
+    assert items.read_output('say\n```json {"a": 1}```') == {"a": 1} and items.without_stray_commas('{"a": "x, ]", "b": [1 , ],}', strings=True) == '{"a": "x, ]", "b": [1 ]}'
+    assert items.balanced('x {"a": "}"} y') == '{"a": "}"}' and items.balanced('x {"a": "}"} y', strings=False) == '{"a": "}' and items.balanced('{"a": "open } ') is None
     assert items.read_output('{"a": 1') == {} and items.read_output(None) == {} and items.read_output(" ") == {}
     assert items.read_output('{"a": {"b": 1}, "c": {"d": 2', pilot=True) == {"a": {"b": 1}}
     assert items.standard_sections({"i1": {"mlst": "1"}})["category"] == "IWL"
@@ -115,6 +117,20 @@ def test_outputs_are_read():
     assert items.standard_sections({"isolates_with_linking": [1], "isolate_without_linking": ["x"]})["category"] == "IWOL"
 
 
+def test_ground_truth_is_repaired_outside_strings_only(spark):
+    df = spark.createDataFrame([(1, '{"no_isolates_only_assayinformation": {"odd": "x, ]", "mlst": "1",},}')], "id int, j string")
+    assert {(r.field, r.orig) for r in items.ground_truth_items(df, "id", "j").collect()} == {("odd", "x, ]"), ("mlst", "1")}
+
+
+def test_serotypes(spark):
+    cases = {
+        "Salmonella Typhimurium": "typhimurium", "S. Enteritidis": "enteritidis", "ser. Kentucky": "ser. kentucky", "Salmonella enterica subsp. enterica serovar Hadar": "hadar", "salmonella  enterica Ser Derby x": "derby x",
+        "Salmonella serovar 4,[5],12:i:-": "4,[5],12:i:-", "Salmonella enterica": "enterica", "Salmonella": "salmonella", "Salmonella enterica subsp. enterica Derby": "subsp. enterica derby", "Salmonella serovar": "serovar", " S.  x ": "x", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r.v: r.s for r in df.select("v", N.serotype(F.col("v")).alias("s")).collect()} == cases
+
+
 def test_ground_truth_items(spark):
     listed = {"isolates_with_linking": [{"isolate_id": "a", "Serovar": ["S. Hadar", "Derby"], "st": "ST-7", "ast_data": [{"Antibiotics": [{"name": "AMP", "Interpretation": "Resistant"}]}], "title": "x", "odd": "y"}, {"mlst": "1"}], "isolate_without_linking": ["Z ", {"isolate_id": "q"}]}
     mapped = {"isolates_with_linking": {"a": {"ast_data": {"AMP": {"interpretation": "S"}}, "amr": ["bla-1", ""]}}, "no_isolates_only_assayinformation": {"odd": "y-1", "mlst": []}}
