@@ -13,36 +13,67 @@ from pyspark.sql import functions as F
 from evalweave.functions.text import tokens_contained
 
 
-def linked_matches(gt: DataFrame, ext: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cells of linked isolates: (extracted with hit and exact, ground truth with hit).
+def linked_cells(gt: DataFrame, ext: DataFrame) -> DataFrame:
+    """Cells of linked isolates of both sides in one table: the columns of both, with extracted, exact and hit.
 
     In: doc_id, iso_id, field, norm, pos; one row per (doc_id, iso_id, field).
     An extracted cell hits its own cell of equal value, whether used or not.
     Else it hits the first ground-truth cell of equal field and value, unless
-    something earlier has hit that cell.
+    something earlier has hit that cell. All of that happens among the cells of
+    one value of a document's field, so one exchange serves both sides.
     """
+    sides = gt.withColumn("extracted", F.lit(False)).unionByName(ext.withColumn("extracted", F.lit(True)), allowMissingColumns=True)
     value = ["doc_id", "field", "norm"]
-    own = gt.select("doc_id", "iso_id", "field", "norm", F.lit(True).alias("own"))
-    e = ext.join(own, ["doc_id", "iso_id", "field", "norm"], "left").withColumn("exact", F.coalesce("own", F.lit(False))).drop("own")
-    firsts = gt.groupBy(*value).agg(F.min_by("iso_id", "pos").alias("rep_iso"))
-    e = e.join(firsts, value, "left")
-    w = Window.partitionBy(*value)
-    taken = F.min(F.when(F.col("exact") & (F.col("iso_id") == F.col("rep_iso")), F.col("pos"))).over(w)
-    turn = F.row_number().over(Window.partitionBy(*value, "exact").orderBy("pos"))
-    e = e.withColumn("taken", taken).withColumn("turn", turn)
-    lenient = ~F.col("exact") & F.col("rep_iso").isNotNull() & (F.col("turn") == 1) & (F.col("taken").isNull() | (F.col("taken") > F.col("pos")))
-    e = e.withColumn("lenient", lenient).withColumn("hit", F.col("exact") | F.col("lenient"))
-    used = e.where("exact").select("doc_id", "iso_id", "field").unionByName(e.where("lenient").select("doc_id", F.col("rep_iso").alias("iso_id"), "field")).distinct()
-    g = gt.join(used.withColumn("hit", F.lit(True)), ["doc_id", "iso_id", "field"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return e.select("doc_id", "iso_id", "field", "norm", "pos", "exact", "hit", *[c for c in ("orig",) if c in ext.columns]), g
+    rows = sides.repartition(*value)
+    known = F.col("doc_id").isNotNull() & F.col("field").isNotNull() & F.col("norm").isNotNull()
+    same, cell = Window.partitionBy(*value), Window.partitionBy(*value, "iso_id")
+    e, here = F.col("extracted"), F.struct("pos", "iso_id")
+    own = F.col("iso_id").isNotNull() & known
+    rows = rows.withColumns(
+        {
+            "_e": F.bool_or(e).over(cell) & own,
+            "_g": F.bool_or(~e).over(cell) & own,
+            "_first": F.when(known, F.min(F.when(~e, here)).over(same)),  # the cell that a lenient match would take
+        }
+    )
+    rows = rows.withColumn("exact", e & F.col("_g"))
+    rows = rows.withColumns(
+        {
+            "_taken": F.min(F.when(F.col("exact") & (F.col("iso_id") == F.col("_first.iso_id")), F.col("pos"))).over(same),
+            "_turn": F.min(F.when(e & ~F.col("exact"), here)).over(same),  # the first that has no cell of its own
+        }
+    )
+    lenient = F.col("_first").isNotNull() & F.col("_turn").isNotNull() & (F.col("_taken").isNull() | (F.col("_taken") > F.col("_turn.pos")))
+    hit = F.when(e, F.col("exact") | (lenient & (here == F.col("_turn")))).otherwise(F.col("_e") | (lenient & F.coalesce(F.col("iso_id") == F.col("_first.iso_id"), F.lit(False))))
+    return rows.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_e", "_g", "_first", "_taken", "_turn")
+
+
+def linked_matches(gt: DataFrame, ext: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of linked isolates: (extracted with hit and exact, ground truth with hit), as ``linked_cells`` has them."""
+    cells = linked_cells(gt, ext)
+    found = cells.where("extracted").select("doc_id", "iso_id", "field", "norm", "pos", "exact", "hit", *[c for c in ("orig",) if c in ext.columns])
+    return found, cells.where("not extracted").select(*gt.columns, "hit")
+
+
+def hit_counts(cells: DataFrame, *by: str) -> DataFrame:
+    """tp, fp and fn of cells (extracted, hit)."""
+    e, hit = F.col("extracted"), F.col("hit")
+    return cells.groupBy(*by).agg(F.count_if(e & hit).alias("tp"), F.count_if(e & ~hit).alias("fp"), F.count_if(~e & ~hit).alias("fn"))
+
+
+def bare_cells(gt: DataFrame, ext: DataFrame) -> DataFrame:
+    """Fields without isolates, of both sides in one table: equal field and value in the same document. With extracted and hit."""
+    sides = gt.withColumn("extracted", F.lit(False)).unionByName(ext.withColumn("extracted", F.lit(True)), allowMissingColumns=True)
+    same, e = Window.partitionBy("doc_id", "field", "norm"), F.col("extracted")
+    known = F.col("doc_id").isNotNull() & F.col("field").isNotNull() & F.col("norm").isNotNull()
+    rows = sides.withColumns({"_e": F.bool_or(e).over(same), "_g": F.bool_or(~e).over(same)})
+    return rows.withColumn("hit", known & F.when(e, F.col("_g")).otherwise(F.col("_e"))).drop("_e", "_g")
 
 
 def bare_matches(gt: DataFrame, ext: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fields without isolates: equal field and value in the same document."""
-    key = ["doc_id", "field", "norm"]
-    mark = lambda df: df.select(*key).distinct().withColumn("hit", F.lit(True))
-    with_hit = lambda a, b: a.join(mark(b), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return with_hit(ext, gt), with_hit(gt, ext)
+    """Fields without isolates: (extracted with hit, ground truth with hit)."""
+    cells = bare_cells(gt, ext)
+    return cells.where("extracted").select(*ext.columns, "hit"), cells.where("not extracted").select(*gt.columns, "hit")
 
 
 def recovered(missed_gt: DataFrame, extra_ext: DataFrame) -> DataFrame:

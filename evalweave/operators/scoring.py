@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.operators.items import categories
-from evalweave.operators.matching import bare_matches, id_sets, linked_matches, recovered
+from evalweave.operators.matching import bare_cells, hit_counts, id_sets, linked_cells, recovered
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -41,13 +41,11 @@ def field_counts(gt_items: DataFrame, ext_items: DataFrame) -> DataFrame:
     """tp, fp, fn and loose recoveries per document, section and field."""
     part = lambda df, s: df.where(F.col("section") == s)
     out = None
-    for section, match in (("iwl", linked_matches), ("nioai", bare_matches)):
-        e, g = match(part(gt_items, section), part(ext_items, section))
-        wrong, missed = e.where("not hit"), g.where("not hit")
-        counts = e.groupBy("doc_id", "field").agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
-        misses = missed.groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("fn"))
-        loose = recovered(missed, wrong)
-        rows = counts.join(misses, ["doc_id", "field"], "full").join(loose, ["doc_id", "field"], "left")
+    for section, match in (("iwl", linked_cells), ("nioai", bare_cells)):
+        cells = match(part(gt_items, section), part(ext_items, section))
+        e = F.col("extracted")
+        loose = recovered(cells.where(~e & ~F.col("hit")), cells.where(e & ~F.col("hit")))
+        rows = hit_counts(cells, "doc_id", "field").join(loose, ["doc_id", "field"], "left")
         rows = rows.select("doc_id", F.lit(section).alias("section"), "field", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "recovered")])
         out = rows if out is None else out.unionByName(rows)
     return out

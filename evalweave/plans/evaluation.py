@@ -29,10 +29,7 @@ def query(sql: str | None = None):
 
 def _bridge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, ext = bridge.items(spark, sf_dir)
-    e, g = matching.linked_matches(gt, ext)
-    hit = e.groupBy("doc_id", "field").agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
-    miss = g.where("not hit").groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("fn"))
-    return hit.join(miss, ["doc_id", "field"], "full").na.fill(0)
+    return matching.hit_counts(matching.linked_cells(gt, ext), "doc_id", "field")
 
 
 def _mean(c: str):
@@ -107,14 +104,21 @@ def match_pilot(spark, sf_dir):
 
 
 def _both_items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    gt = table(spark, sf_dir, "gt_records").withColumn("doc_id", plain_pmcid(F.col("pmcid"))).where("doc_id is not null and gt_json is not null")
-    gt = gt.groupBy("doc_id").agg(F.max_by("gt_json", F.struct("updated_at", "gt_id")).alias("gt_json"))
-    ext = table(spark, sf_dir, "extraction_results").withColumn("doc_id", plain_pmcid(F.col("pmcid"))).where("doc_id is not null and raw_model_output is not null")
-    ext = ext.groupBy("doc_id").agg(F.max_by("raw_model_output", F.struct("created_at", "extraction_id")).alias("raw"))
-    both = gt.join(ext, "doc_id")
-    both = checkpointed(both)  # read once: every operator below uses the items several times
-    gt_items = checkpointed(items.ground_truth_items(both, "doc_id", "gt_json"))
-    return both, gt_items, checkpointed(items.output_items(both, "doc_id", "raw"))
+    """Latest ground truth and output of each document that has both: the documents with raw, and both item tables.
+
+    The latest are found by their ids, so texts only meet their own id, are read
+    where they lie, and nothing but items is kept.
+    """
+
+    def last(name: str, id_col: str, text_col: str, time: str) -> DataFrame:
+        rows = table(spark, sf_dir, name).where(F.col(text_col).isNotNull()).select(plain_pmcid(F.col("pmcid")).alias("doc_id"), id_col, time).where("doc_id is not null")
+        return rows.groupBy("doc_id").agg(F.max_by(id_col, F.struct(time, id_col)).alias(id_col))
+
+    ids = checkpointed(last("gt_records", "gt_id", "gt_json", "updated_at").join(last("extraction_results", "extraction_id", "raw_model_output", "created_at"), "doc_id"))
+    gt = table(spark, sf_dir, "gt_records").where("gt_json is not null").select("gt_id", "gt_json").join(ids.select("doc_id", "gt_id"), "gt_id")
+    out = table(spark, sf_dir, "extraction_results").select("extraction_id", F.col("raw_model_output").alias("raw")).where("raw is not null").join(ids.select("doc_id", "extraction_id"), "extraction_id")
+    # repeats of a row give the same items
+    return out.dropDuplicates(["doc_id"]), checkpointed(items.ground_truth_items(gt, "doc_id", "gt_json")), checkpointed(items.output_items(out, "doc_id", "raw"))
 
 
 @query()
