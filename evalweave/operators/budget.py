@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.operators.ordered import SPAN_US, totals_at
+from evalweave.session import checkpointed
+
 # US dollars per million tokens, input and output, of the price groups.
 PRICES = [("small", 1.0, 5.0), ("medium", 3.0, 15.0), ("large", 5.0, 25.0)]
 
@@ -12,16 +15,24 @@ PRICES = [("small", 1.0, 5.0), ("medium", 3.0, 15.0), ("large", 5.0, 25.0)]
 def used_in_window(ledger: DataFrame, key: str, ts: str, tokens: str, seconds: int = 60) -> DataFrame:
     """Tokens used in the ``seconds`` up to each row, an age of exactly that long no longer counts.
 
-    A hot key is cut into stretches of an hour, with the minute before each
-    repeated, so no key's whole history meets in one task.
+    Uses are added when they come and taken off when they leave, so windows of
+    any length cost the same and no key's history meets in one task. Null times
+    give null, null tokens count as 0.
     """
-    stretch = 3600
-    second = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = ledger.withColumn("_us", second).withColumn("_h", F.expr(f"_us div {stretch * 1_000_000}")).withColumn("_own", F.lit(True))
-    spill = rows.where(F.expr(f"_us % {stretch * 1_000_000} >= {(stretch - seconds) * 1_000_000}"))
-    both = rows.unionByName(spill.withColumn("_h", F.col("_h") + 1).withColumn("_own", F.lit(False)))
-    w = Window.partitionBy(key, "_h").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return both.withColumn("used", F.sum(tokens).over(w)).where("_own").drop("_us", "_h", "_own")
+    rows = _rows(ledger, key, tokens, F.unix_micros(F.col(ts).cast("timestamp")))
+    uses = rows.where("_at is not null").select("_k", "_at", "_n")
+    gone = uses.select("_k", (F.col("_at") + seconds * 1_000_000).alias("_at"), (-F.col("_n")).alias("_n"))
+    used = totals_at(uses.unionByName(gone), "_k", "_at", "_n").select(F.col("_k").alias("_k2"), F.col("_at").alias("_t"), F.col("total").alias("used"))
+    return _with(rows.join(used, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_at") == F.col("_t")), "left"), ledger, F.col("used"), "used")
+
+
+def _rows(ledger: DataFrame, key: str, tokens: str, at: Column) -> DataFrame:
+    """The ledger's rows as one column, so that no name of theirs clashes: _row, _k, _at, _n."""
+    return ledger.select(F.struct("*").alias("_row"), F.col(key).alias("_k"), at.alias("_at"), F.coalesce(F.col(tokens), F.lit(0)).alias("_n"))
+
+
+def _with(rows: DataFrame, ledger: DataFrame, value: Column, name: str) -> DataFrame:
+    return rows.select(*[F.col("_row")[c].alias(c) for c in ledger.columns if c != name], value.alias(name))
 
 
 def waits(ledger: DataFrame, key: str, ts: str, tokens: str, limit: int, need: int, seconds: int = 60) -> DataFrame:
@@ -29,21 +40,31 @@ def waits(ledger: DataFrame, key: str, ts: str, tokens: str, limit: int, need: i
 
     Oldest uses leave the window first; the wait ends a second after the one
     that frees enough. 0 where there is room, null where the need never fits.
+    The use that frees enough is the first one whose running total reaches the
+    present total plus need less limit, so it is looked up along the totals,
+    again in two levels.
     """
-    w = Window.partitionBy(key).orderBy(F.col("_s")).rangeBetween(-(seconds - 1), 0)
-    rows = ledger.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("_in", F.collect_list(F.struct("_s", tokens)).over(w))
-    total = F.aggregate("_in", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x[tokens], F.lit(0)))
-    over = total + F.lit(need) - F.lit(limit)
-    state = F.struct(over.alias("left"), F.lit(None).cast("bigint").alias("at"))
-
-    def free(a: Column, x: Column) -> Column:
-        left = a["left"] - F.coalesce(x[tokens], F.lit(0))
-        return F.struct(left.alias("left"), F.when(a["at"].isNull() & (left <= 0), x["_s"]).otherwise(a["at"]).alias("at"))
-
-    at = F.aggregate(F.array_sort("_in"), state, free)["at"]
-    wait = F.when(over <= 0, F.lit(0)).when(F.lit(need) > limit, F.lit(None)).otherwise(at + F.lit(seconds) - F.col("_s") + 1)
-    return rows.withColumn("wait_s", wait.cast("bigint")).drop("_s", "_in")
+    rows = _rows(ledger, key, tokens, F.unix_seconds(F.col(ts).cast("timestamp")))
+    uses = rows.where("_at is not null").select("_k", F.col("_at").alias("_s"), "_n")
+    gone = uses.select("_k", (F.col("_s") + seconds).alias("_s"), (-F.col("_n")).alias("_n"))
+    second = SPAN_US // 1_000
+    sums = totals_at(uses, "_k", "_s", "_n", second)
+    held = totals_at(uses.unionByName(gone), "_k", "_s", "_n", second).withColumnRenamed("total", "held")
+    both = checkpointed(sums.join(held.select(F.col("_k").alias("_k2"), F.col("_s").alias("_s2"), "held"), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_s") == F.col("_s2"))).drop("_k2", "_s2"))
+
+    points = both.select("_k", F.col("total").alias("v"), F.col("_s").alias("at"), F.lit(None).cast("bigint").alias("ask"))
+    asks = both.where(F.col("held") + need > limit).select("_k", (F.col("total") + (need - limit)).alias("v"), F.lit(None).cast("bigint").alias("at"), F.col("_s").alias("ask"))
+    line = points.unionByName(asks).withColumn("b", F.expr(f"floor(v / {64 * max(1, limit)})"))
+    after = Window.partitionBy("_k", "b").orderBy("v", F.col("ask").isNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    firsts = line.where("at is not null").groupBy("_k", "b").agg(F.min("at").alias("first"))
+    parts = line.select("_k", "b").distinct().join(firsts.select(F.col("_k").alias("_k2"), F.col("b").alias("b2"), "first"), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("b") == F.col("b2")), "left").drop("_k2", "b2")
+    later = Window.partitionBy("_k").orderBy("b").rowsBetween(1, Window.unboundedFollowing)  # one row per stretch of totals
+    parts = parts.select(F.col("_k").alias("_k2"), F.col("b").alias("b2"), F.first("first", ignorenulls=True).over(later).alias("next"))
+    found = line.withColumn("here", F.first("at", ignorenulls=True).over(after)).where("ask is not null")
+    found = found.join(parts, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("b") == F.col("b2")), "left").select(F.col("_k").alias("_k3"), F.col("ask").alias("_s3"), F.coalesce("here", "next").alias("_freed"))
+    out = rows.join(found, F.col("_k").eqNullSafe(F.col("_k3")) & (F.col("_at") == F.col("_s3")), "left")
+    wait = F.when(F.col("_at").isNull(), None).when(F.col("_s3").isNull(), 0).when(F.lit(need) > limit, None).otherwise(F.col("_freed") + F.lit(seconds) - F.col("_at") + 1)
+    return _with(out, ledger, wait.cast("bigint"), "wait_s")
 
 
 def cost(tokens_in: Column, tokens_out: Column, usd_in: Column, usd_out: Column) -> Column:

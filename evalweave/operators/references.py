@@ -15,16 +15,15 @@ and targets are made.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.functions.keys import file_key, plain_pmcid
 from evalweave.operators.bloom import bloom_filter, with_might_contain, words_for
+from evalweave.operators.ordered import micros, totals_at
 from evalweave.session import checkpointed
 
 _NEVER = "9999-12-31 23:59:59"
-#: Seconds of a span: about the root of a decade's microseconds.
-_SPAN = 16
 
 
 def orphans(refs: DataFrame, targets: DataFrame, words: int | None = None) -> DataFrame:
@@ -48,23 +47,13 @@ def orphans(refs: DataFrame, targets: DataFrame, words: int | None = None) -> Da
     marked = checkpointed(with_might_contain(ref, "key", bloom_filter(target, "key", words), "maybe", words))
     proven = marked.where(~F.col("maybe")).select("row_id", "at", F.lit(True).alias("proven"))
 
-    moves = target.select("key", F.col("start").alias("t"), F.lit(1).alias("d")).unionByName(
-        target.where("end is not null").select("key", F.col("end").alias("t"), F.lit(-1).alias("d"))
+    moves = target.select("key", micros(F.col("start")).alias("t"), F.lit(1).alias("d")).unionByName(
+        target.where("end is not null").select("key", micros(F.col("end")).alias("t"), F.lit(-1).alias("d"))
     )
-    asks = marked.where("maybe").select("row_id", "key", "at", F.coalesce("at", end_of_time).alias("t"))
-    steps = moves.withColumn("asked", F.lit(False)).unionByName(asks.select("key", "t", F.lit(0).alias("d"), F.lit(True).alias("asked")))
-    times = steps.groupBy("key", "t").agg(F.sum("d").alias("d"), F.bool_or("asked").alias("asked"))
-    # an interval, unlike a cast, doesn't depend on the session's time zone
-    times = times.withColumn("span", F.expr(f"floor(cast(cast(t - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) / {_SPAN})").cast("bigint"))
-
-    spans = times.groupBy("key", "span").agg(F.sum("d").alias("net"))
-    earlier = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    at_start = spans.select("key", "span", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("present"))
-
-    so_far = Window.partitionBy("key", "span").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = times.join(at_start, ["key", "span"]).withColumn("present", F.col("present") + F.sum("d").over(so_far))
-    absent = swept.where("asked and present <= 0").select("key", "t")
-    late = asks.join(absent, ["key", "t"], "left_semi").select("row_id", "at", F.lit(False).alias("proven"))
+    asks = marked.where("maybe").select("row_id", "key", "at", micros(F.coalesce("at", end_of_time)).alias("t"))
+    # a time that is only asked for changes nothing
+    present = totals_at(moves.unionByName(asks.select("key", "t", F.lit(0).alias("d"))), "key", "t", "d")
+    late = asks.join(present.where("total <= 0"), ["key", "t"], "left_semi").select("row_id", "at", F.lit(False).alias("proven"))
     return proven.unionByName(late).dropDuplicates(["row_id", "at"])
 
 

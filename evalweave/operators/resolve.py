@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.operators.ordered import ranged
+
 
 def first_by_priority(listing: DataFrame, id_col: str, path_col: str, *order: Column) -> DataFrame:
     """One path per id: the first by ``order``, then by path."""
@@ -80,20 +82,18 @@ def upsert(tracker: DataFrame, changes: DataFrame, key: list[str], order: str) -
 
 
 def filled_down(rows: DataFrame, col: str, order: str, by: str | None = None) -> DataFrame:
-    """Blank cells take the last value above them.
+    """Blank cells take the last value above them (of the same ``by``).
 
-    Two levels, so an unordered key never puts all rows in one task: within a
-    range of ``order`` first, then from the last value of earlier ranges.
+    Two levels, so rows without a key are never all in one task: within a range
+    of ``order`` first, then from the last value of earlier ranges.
     """
-    from pyspark.sql import Window
-
-    block = F.floor(F.col(order) / 10_000)
-    part = [F.col(by)] if by else []
+    part = [by] if by else []
     cell = F.when(F.trim(col) != "", F.col(col))
-    inside = Window.partitionBy(*part, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumn("_b", block).withColumn("_c", cell).withColumn("_f", F.last("_c", ignorenulls=True).over(inside))
-    lasts = marked.where("_c is not null").groupBy(*part, "_b").agg(F.max_by("_c", order).alias("_l"))
-    blocks = marked.select(*part, "_b").distinct().join(lasts, [*([by] if by else []), "_b"], "left")
-    earlier = Window.partitionBy(*(part or [F.lit(1)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per 10,000 rows
-    blocks = blocks.withColumn("_e", F.last("_l", ignorenulls=True).over(earlier)).drop("_l")
-    return marked.join(blocks, [*([by] if by else []), "_b"], "left").withColumn(col, F.coalesce("_f", "_e")).drop("_b", "_c", "_f", "_e")
+    inside = Window.partitionBy(*part, "_r").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = ranged(rows.withColumn("_c", cell), *part, order).withColumn("_f", F.last("_c", ignorenulls=True).over(inside))
+    blocks = marked.groupBy(*part, "_r").agg(F.max_by("_c", F.when(F.col("_c").isNotNull(), F.col(order))).alias("_l"))
+    earlier = Window.partitionBy(*(part or [F.lit(1)])).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    blocks = blocks.select(*[F.col(c).alias("_by") for c in part], F.col("_r").alias("_q"), F.last("_l", ignorenulls=True).over(earlier).alias("_e"))
+    same = F.col("_r") == F.col("_q")
+    joined = marked.join(blocks, same & F.col(by).eqNullSafe(F.col("_by")) if by else same, "left")
+    return joined.withColumn(col, F.coalesce("_f", "_e")).select(*rows.columns)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalweave.operators.ordered import ranged
 from evalweave.session import checkpointed
 
 
@@ -16,12 +17,16 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank sums of a - b, zero differences dropped: n, w_plus, w_minus, rank_biserial, z.
 
     Ranks are averages over ties; they come from counts per distinct difference,
-    so only distinct sizes are ordered. z is the normal approximation with tie correction.
+    so only distinct sizes are ordered, range by range. z is the normal approximation with tie correction.
     """
     d = F.round(F.col(a) - F.col(b), 12)
     sizes = pairs.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("s")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("d") > 0).alias("plus"))
-    before = Window.partitionBy(F.lit(1)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct size
-    ranked = sizes.withColumn("rank", F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2)
+    sizes = ranged(sizes, "s")
+    ranges = sizes.groupBy("_r").agg(F.sum("k").alias("n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranges.select("_r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("_r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sizes.join(F.broadcast(starts), "_r").withColumn("rank", F.col("start") + F.coalesce(F.sum("k").over(within), F.lit(0)) + (F.col("k") + 1) / 2)
     k, n = F.col("k").cast("double"), F.sum("k").cast("double")
     out = ranked.agg(
         F.coalesce(F.sum("k"), F.lit(0)).alias("n"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalweave.functions import dates, text
 from evalweave.functions.keys import file_key, plain_pmcid
-from evalweave.operators import accession, ast_formats, budget, feedback, items, maintain, matching, resolve, scoring, stats
+from evalweave.operators import accession, ast_formats, budget, feedback, items, maintain, matching, ordered, resolve, scoring, stats
 from evalweave.operators.packed import packed_items
 from evalweave.operators.xmltext import article
 from evalweave.plans import bridge
@@ -367,7 +367,11 @@ def budget_window(spark, sf_dir):
     return budget.used_in_window(ledger, "user_id", "ts", "tokens", 3600).select("event_id", "used")
 
 
-@query()
+@query("""WITH r AS (SELECT event_id, user_id AS u, cast(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, cast(value * 100 AS BIGINT) AS n FROM events),
+t AS (SELECT u, s, sum(n) AS n FROM r GROUP BY ALL),
+c AS (SELECT u, s, sum(n) OVER (PARTITION BY u ORDER BY s) AS c, sum(n) OVER (PARTITION BY u ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS w FROM t),
+f AS (SELECT x.u, x.s, min(y.s) AS freed FROM c x JOIN c y ON x.u = y.u AND y.c >= x.c - 5000 WHERE x.w > 5000 GROUP BY ALL)
+SELECT event_id, CASE WHEN w <= 5000 THEN 0 ELSE freed + 3601 - r.s END AS wait_s FROM r JOIN c USING (u, s) LEFT JOIN f USING (u, s)""")
 def budget_waits(spark, sf_dir):
     """W-04: the wait until 5,000 tokens fit under 10,000 an hour."""
     ledger = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("tokens"))
@@ -406,17 +410,7 @@ SELECT i, cast(i AS BIGINT) AS n, cast(ms AS BIGINT) AS ms, cast(t AS BIGINT) AS
 def running_progress(spark, sf_dir):
     """W-06, AGG-19: totals after every ten documents."""
     rows = table(spark, sf_dir, "extraction_results").select("extraction_id", F.col("processing_time_ms").alias("ms"), F.col("token_count_output").cast("bigint").alias("t")).distinct()
-    return budget.running_totals(_numbered(rows, "extraction_id"), "i", 10, "ms", "t")
-
-
-def _numbered(rows: DataFrame, col: str, width: int = 10_000) -> DataFrame:
-    """A dense number from 1 by ``col``: counts per range of it first, then places within a range."""
-    r = rows.withColumn("_b", F.floor(F.col(col) / width))
-    sizes = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of ids
-    starts = sizes.select("_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_s"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(col))
-    return r.withColumn("_i", inside).join(starts, "_b").withColumn("i", F.col("_s") + F.col("_i")).drop("_b", "_i", "_s")
+    return budget.running_totals(ordered.numbered(rows, "extraction_id"), "i", 10, "ms", "t")
 
 
 # --- statistics --------------------------------------------------------------------------------------------

@@ -200,6 +200,11 @@ def test_budget(spark):
     df = spark.createDataFrame([("k", at(0), 10), ("k", at(59), 20), ("k", at(60), 30), ("k", at(200), 5)], "k string, ts timestamp_ntz, n bigint")
     assert [r.used for r in budget.used_in_window(df, "k", "ts", "n").orderBy("ts").collect()] == [10, 30, 50, 5]
     assert [r.wait_s for r in budget.waits(df, "k", "ts", "n", 60, 40).orderBy("ts").collect()] == [0, 2, 61, 0]
+    far = [(k, dt.datetime(2024, 3, 31) + dt.timedelta(hours=h), h + 1) for k in ("x", None) for h in (0, 2.5, 2.5, 5.5, 100)]
+    hours = spark.createDataFrame([(k, t, int(n), "q") for k, t, n in far], "k string, ts timestamp_ntz, n int, _k string")
+    got = budget.used_in_window(hours, "k", "ts", "n", 3 * 3600).orderBy("k", "ts").collect()
+    assert [r.used for r in got] == [1, 7, 7, 6, 101] * 2
+    assert [r.wait_s for r in budget.waits(hours, "k", "ts", "n", 4, 2, 3 * 3600).orderBy("k", "ts").collect()] == [0, 3 * 3600 + 1, 3 * 3600 + 1, 3 * 3600 + 1, 3 * 3600 + 1] * 2
     assert budget.backoff(0) == 2 and budget.backoff(9) == 120 and budget.backoff(0, rate_limited=True) == 30
     assert round(budget.optimisation_cost(5, 1.0, 5.0)["total_usd"], 3) == 3.78
 
