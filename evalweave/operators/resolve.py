@@ -97,3 +97,16 @@ def filled_down(rows: DataFrame, col: str, order: str, by: str | None = None) ->
     same = F.col("_r") == F.col("_q")
     joined = marked.join(blocks, same & F.col(by).eqNullSafe(F.col("_by")) if by else same, "left")
     return joined.withColumn(col, F.coalesce("_f", "_e")).select(*rows.columns)
+
+
+def of_roles(results: DataFrame, experiments: DataFrame, catalog: DataFrame, *roles: str) -> DataFrame:
+    """Results whose experiment belongs to a split of one of the roles, once each."""
+    names = catalog.where(F.col("split_role").isin(*roles)).select("split_name")
+    runs = experiments.join(names, "split_name", "left_semi").select("experiment_id").distinct()
+    return results.join(runs, "experiment_id", "left_semi")
+
+
+def split_counts(results: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Results per split; null for those without experiment or split."""
+    runs = experiments.select("experiment_id", "split_name").distinct()
+    return results.join(runs, "experiment_id", "left").groupBy("split_name").agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from evalweave.operators.packed import packed_items
 from evalweave.operators.xmltext import article
 from evalweave.plans import bridge
 from evalweave.session import checkpointed, table
+from evalweave.sources import files
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -32,14 +33,6 @@ def _bridge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.hit_counts(matching.linked_cells(gt, ext), "doc_id", "field")
 
 
-def _mean(c: str):
-    """The mean of scores of four decimals by whole numbers: the same in every engine."""
-    return F.sum(F.round(F.col(c) * 10_000).cast("bigint")) / (F.count(c) * 10_000)
-
-
-_S_MEAN = "sum(cast(round({0} * 10000) AS BIGINT))::DOUBLE / nullif(count({0}) * 10000, 0)"
-
-
 # --- matching and scoring over derived items ---------------------------------------------------------------
 
 
@@ -65,7 +58,7 @@ def match_by_field(spark, sf_dir):
     + """SELECT e.doc_id, e.field, e.iso_id AS iso_id, e.norm, list_contains(list_distinct(string_split(e.norm, ' ')), 'x') AS has_x FROM e WHERE NOT exact AND NOT lenient"""
 )
 def match_wrong_items(spark, sf_dir):
-    """J-11, SRT-04: the extracted items that match nothing."""
+    """SRT-04: the extracted items that match nothing."""
     gt, ext = bridge.items(spark, sf_dir)
     e, _ = matching.linked_matches(gt, ext)
     return e.where("not hit").select("doc_id", "field", "iso_id", "norm", F.array_contains(F.array_distinct(F.split("norm", " ")), "x").alias("has_x"))
@@ -91,11 +84,39 @@ def match_id_sets(spark, sf_dir):
     return matching.id_sets(gt.where("field = 'mlst'"), ext.where("field = 'mlst'"))
 
 
-@query()
+@query(
+    bridge.SQL_ITEMS
+    + """, m AS (SELECT doc_id, true AS ex, EXISTS (SELECT 1 FROM gt WHERE gt.doc_id = ext.doc_id AND gt.field = ext.field AND gt.norm = ext.norm) AS hit FROM ext
+  UNION ALL SELECT doc_id, false, EXISTS (SELECT 1 FROM ext WHERE gt.doc_id = ext.doc_id AND gt.field = ext.field AND gt.norm = ext.norm) FROM gt)
+SELECT doc_id, count(*) FILTER (ex AND hit) AS tp, count(*) FILTER (ex AND NOT hit) AS fp, count(*) FILTER (NOT ex AND NOT hit) AS fn FROM m GROUP BY ALL"""
+)
+def match_bare(spark, sf_dir):
+    """J-11: items matched by field and value alone, as fields without isolates are."""
+    gt, ext = bridge.items(spark, sf_dir)
+    return matching.hit_counts(matching.bare_cells(gt, ext), "doc_id")
+
+
+@query(
+    bridge.SQL_ITEMS
+    + """, k AS (SELECT doc_id, field, norm, iso_id, count(*) FILTER (s = 'g') AS g, count(*) FILTER (s = 'e') AS e FROM
+  (SELECT doc_id, field, norm, iso_id, 'g' AS s FROM gt UNION ALL SELECT doc_id, field, norm, iso_id, 'e' FROM ext) GROUP BY ALL),
+d AS (SELECT doc_id, sum(least(g, e))::BIGINT AS tp, sum(e - least(g, e))::BIGINT AS fp, 0 AS up, sum(g - least(g, e))::BIGINT AS fn FROM k GROUP BY ALL)
+SELECT doc_id, tp, fp, up::BIGINT AS up, fn, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM d"""
+)
 def match_pilot(spark, sf_dir):
-    """J-14, AGG-08: the pilot's one-to-one match and its three F1 scores."""
+    """J-14: the pilot's one-to-one match by field, value and id."""
     gt, ext = bridge.items(spark, sf_dir)
-    rows = matching.pilot_match(gt, ext)
+    rows = matching.pilot_match(gt, ext).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "up", "fn")])
+    return rows.withColumn("f1", F.round(scoring.pilot_f1(F.col("tp"), F.col("fp"), F.col("up"), F.col("fn"))[1], 9))
+
+
+@query()
+def pilot_scores(spark, sf_dir):
+    """J-14, AGG-08: the pilot's match of outputs with ground truth; wrong values that stand in the article are uncertain. Its three F1 scores."""
+    _, gt, ext = _both_items(spark, sf_dir)
+    texts = table(spark, sf_dir, "documents").where("doc_type = 'article' and text is not null").select(plain_pmcid(F.col("pmcid")).alias("doc_id"), "text")
+    named = lambda df: df.withColumn("iso_id", F.coalesce("iso_id", F.lit("NO_ISOLATE_ID")))
+    rows = matching.pilot_match(named(gt), named(ext), texts)
     low, mid, high = scoring.pilot_f1(F.col("tp"), F.col("fp"), F.col("up"), F.col("fn"))
     return rows.withColumns({"conservative_f1": low, "primary_f1": mid, "optimistic_f1": high})
 
@@ -161,6 +182,7 @@ def feedback_messages(spark, sf_dir):
 
 # --- reports over stored results ---------------------------------------------------------------------------
 
+_PLAIN = "'PMC' || nullif(regexp_replace(regexp_extract(pmcid, '(?i)^\\s*(?:PMC)?[^0-9A-Za-z]*([0-9]+)(?:\\.[0-9]+)?\\s*$', 1), '^0+([0-9])', '\\1'), '')"
 _RESULTS = """WITH r AS (SELECT DISTINCT * FROM record_results), s AS (SELECT *, coalesce(gt_category, '') AS cat FROM r)
 """
 
@@ -172,19 +194,18 @@ def _results(spark, sf_dir) -> DataFrame:
 
 @query(
     _RESULTS
-    + f"""SELECT CASE WHEN grouping(cat) = 1 THEN NULL ELSE cat END AS cat, count(*) AS n, {_S_MEAN.format("primary_f1")} AS mean_f1, median(primary_f1) AS median_f1,
+    + f"""SELECT CASE WHEN grouping(cat) = 1 THEN NULL ELSE cat END AS cat, count(*) AS n, round(avg(primary_f1), 9) AS mean_f1, median(primary_f1) AS median_f1,
   round(coalesce(stddev_samp(primary_f1), 0), 6) AS stdev_f1, min(primary_f1) AS min_f1, max(primary_f1) AS max_f1,
   cast(coalesce(sum(tp), 0) AS BIGINT) AS total_tp, cast(coalesce(sum(fp), 0) AS BIGINT) AS total_fp, cast(coalesce(sum(fn), 0) AS BIGINT) AS total_fn,
-  round(coalesce(2.0 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0), 6) AS micro_f1, {_S_MEAN.format("loose_f1")} AS loose_mean_f1 FROM s GROUP BY ROLLUP (cat)"""
+  round(coalesce(2.0 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0), 6) AS micro_f1, round(avg(loose_f1), 9) AS loose_mean_f1 FROM s GROUP BY ROLLUP (cat)"""
 )
 def report_summary(spark, sf_dir):
     """AGG-02, AGG-03: scores per category and over all (a rollup)."""
     results = _results(spark, sf_dir).withColumn("cat", F.coalesce("gt_category", F.lit("")))
-    rows = scoring.aggregate(results, "cat")
-    means = results.rollup("cat").agg(_mean("primary_f1").alias("m"), _mean("loose_f1").alias("l"), F.grouping_id().cast("int").alias("level"))
-    joined = rows.drop("mean_f1", "loose_mean_f1").join(means, rows["cat"].eqNullSafe(means["cat"]) & (rows["level"] == means["level"])).drop(means["cat"])
-    r = lambda c: F.round(c, 6).alias(c)
-    return joined.select("cat", "n", F.col("m").alias("mean_f1"), "median_f1", r("stdev_f1"), "min_f1", "max_f1", "total_tp", "total_fp", "total_fn", r("micro_f1"), F.col("l").alias("loose_mean_f1"))
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    return scoring.aggregate(results, "cat").select(
+        "cat", "n", r("mean_f1", 9), "median_f1", r("stdev_f1"), "min_f1", "max_f1", "total_tp", "total_fp", "total_fn", r("micro_f1"), r("loose_mean_f1", 9)
+    )
 
 
 @query(_RESULTS + "SELECT gt_category, ext_category, count(*) AS n FROM r GROUP BY ALL")
@@ -202,14 +223,11 @@ def report_confusion_top(spark, sf_dir):
 @query(
     _RESULTS
     + f"""SELECT experiment_id, count(*) FILTER (primary_f1 = 0) AS zero, count(*) FILTER (primary_f1 > 0 AND primary_f1 < 0.5) AS below_half,
-  count(*) FILTER (primary_f1 >= 0.5) AS half_or_more, {_S_MEAN.format("primary_f1")} AS mean_f1 FROM r GROUP BY ALL"""
+  count(*) FILTER (primary_f1 >= 0.5) AS half_or_more, round(avg(primary_f1), 9) AS mean_f1 FROM r GROUP BY ALL"""
 )
 def report_buckets(spark, sf_dir):
     """AGG-13: buckets of F1 per experiment."""
-    results = _results(spark, sf_dir)
-    means = results.groupBy("experiment_id").agg(_mean("primary_f1").alias("mean_f1"))
-    buckets = scoring.score_buckets(results, "experiment_id").drop("mean_f1")
-    return buckets.join(means, buckets["experiment_id"].eqNullSafe(means["experiment_id"])).drop(means["experiment_id"])
+    return scoring.score_buckets(_results(spark, sf_dir), "experiment_id").withColumn("mean_f1", F.round("mean_f1", 9))
 
 
 @query(_RESULTS + "SELECT result_id, primary_f1 FROM r WHERE primary_f1 IS NOT NULL ORDER BY primary_f1, result_id LIMIT 15")
@@ -241,27 +259,25 @@ def report_rescored(spark, sf_dir):
 
 @query(
     _RESULTS
-    + """SELECT experiment_id, avg(CASE WHEN category_correct THEN 1 ELSE 0 END) AS accuracy, count(*) AS n, count(DISTINCT pmcid) AS n_pmcids,
+    + f"""SELECT experiment_id, avg(CASE WHEN category_correct THEN 1 ELSE 0 END) AS accuracy, count(*) AS n, count(DISTINCT {_PLAIN}) AS n_pmcids,
   count(*) FILTER (error_message IS NOT NULL) AS n_errors FROM r GROUP BY ALL"""
 )
 def report_accuracy(spark, sf_dir):
     """AGG-04, AGG-10: category accuracy and distinct ids per experiment."""
     return _results(spark, sf_dir).groupBy("experiment_id").agg(
-        F.avg(F.when(F.col("category_correct"), 1).otherwise(0)).alias("accuracy"), F.count(F.lit(1)).alias("n"), F.count_distinct("pmcid").alias("n_pmcids"), F.count_if(F.col("error_message").isNotNull()).alias("n_errors")
+        F.avg(F.when(F.col("category_correct"), 1).otherwise(0)).alias("accuracy"), F.count(F.lit(1)).alias("n"), F.count_distinct(plain_pmcid(F.col("pmcid"))).alias("n_pmcids"), F.count_if(F.col("error_message").isNotNull()).alias("n_errors")
     )
 
 
 @query(
     _RESULTS
-    + f"""SELECT gt_category, count(primary_f1) AS n, {_S_MEAN.format("primary_f1")} AS mean, quantile_cont(primary_f1, 0.25) AS q1, quantile_cont(primary_f1, 0.5) AS median,
+    + f"""SELECT gt_category, count(primary_f1) AS n, round(avg(primary_f1), 9) AS mean, quantile_cont(primary_f1, 0.25) AS q1, quantile_cont(primary_f1, 0.5) AS median,
   quantile_cont(primary_f1, 0.75) AS q3, round(quantile_cont(primary_f1, 0.75) - quantile_cont(primary_f1, 0.25), 9) AS iqr FROM r GROUP BY ALL"""
 )
 def report_descriptives(spark, sf_dir):
     """STA-05: quartiles of F1 per category."""
-    results = _results(spark, sf_dir)
-    means = results.groupBy("gt_category").agg(_mean("primary_f1").alias("mean"))
-    rows = stats.descriptives(results, "primary_f1", "gt_category").drop("mean").withColumn("iqr", F.round("iqr", 9))
-    return rows.join(means, rows["gt_category"].eqNullSafe(means["gt_category"])).drop(means["gt_category"])
+    rows = stats.descriptives(_results(spark, sf_dir), "primary_f1", "gt_category")
+    return rows.withColumns({"mean": F.round("mean", 9), "iqr": F.round("iqr", 9)})
 
 
 @query(
@@ -322,38 +338,35 @@ def resolve_missing(spark, sf_dir):
     return resolve.missing(ids, main.select("k").unionByName(golden.select("k")), "k").select("article_id")
 
 
-@query("""WITH x AS (SELECT DISTINCT extraction_id, pmcid, run_status FROM extraction_results WHERE pmcid IS NOT NULL)
-SELECT DISTINCT pmcid FROM x WHERE pmcid NOT IN (SELECT pmcid FROM x WHERE run_status = 'completed')""")
+@query(f"""WITH x AS (SELECT DISTINCT extraction_id, {_PLAIN} AS pmcid, run_status FROM extraction_results)
+SELECT DISTINCT pmcid FROM x WHERE pmcid IS NOT NULL AND pmcid NOT IN (SELECT pmcid FROM x WHERE run_status = 'completed' AND pmcid IS NOT NULL)""")
 def resume_remaining(spark, sf_dir):
     """J-25, STR-02: ids that no run has completed."""
-    rows = table(spark, sf_dir, "extraction_results").where("pmcid is not null")
+    rows = table(spark, sf_dir, "extraction_results").withColumn("pmcid", plain_pmcid(F.col("pmcid"))).where("pmcid is not null")
     return resolve.remaining(rows.select("pmcid").distinct(), rows.where("run_status = 'completed'"), "pmcid")
 
 
-@query("""WITH x AS (SELECT DISTINCT extraction_id, pmcid, model_id, created_at FROM extraction_results WHERE pmcid IS NOT NULL)
-SELECT pmcid, model_id, max(extraction_id) AS extraction_id FROM x JOIN (SELECT pmcid, model_id, max(created_at) AS created_at FROM x GROUP BY ALL) USING (pmcid, model_id, created_at) GROUP BY ALL""")
+@query(f"""WITH x AS (SELECT DISTINCT extraction_id, {_PLAIN} AS pmcid, model_id, created_at FROM extraction_results)
+SELECT pmcid, model_id, max(extraction_id) AS extraction_id FROM x JOIN (SELECT pmcid, model_id, max(created_at) AS created_at FROM x WHERE pmcid IS NOT NULL GROUP BY ALL) USING (pmcid, model_id, created_at) GROUP BY ALL""")
 def latest_extractions(spark, sf_dir):
     """STR-03, W-05: the last extraction per document and model."""
-    rows = table(spark, sf_dir, "extraction_results").where("pmcid is not null and model_id is not null").select("pmcid", "model_id", "created_at", "extraction_id")
-    return rows.groupBy("pmcid", "model_id").agg(F.max_by("extraction_id", F.struct("created_at", "extraction_id")).alias("extraction_id"))
+    rows = table(spark, sf_dir, "extraction_results").select(plain_pmcid(F.col("pmcid")).alias("pmcid"), "model_id", "created_at", "extraction_id").where("pmcid is not null and model_id is not null")
+    return resolve.latest(rows, ["pmcid", "model_id"], "created_at", "extraction_id").select("pmcid", "model_id", "extraction_id")
 
 
 @query("""WITH e AS (SELECT DISTINCT experiment_id, split_name FROM gepa_experiments), r AS (SELECT DISTINCT result_id, experiment_id FROM record_results)
 SELECT result_id FROM r JOIN e USING (experiment_id) JOIN (SELECT DISTINCT split_name, split_role FROM split_catalog) USING (split_name) WHERE split_role = 'eval'""")
 def holdout_results(spark, sf_dir):
     """J-21, SET-06: results of evaluation splits."""
-    names = table(spark, sf_dir, "split_catalog").where("split_role = 'eval'").select("split_name")
-    runs = table(spark, sf_dir, "gepa_experiments").join(names, "split_name", "left_semi").select("experiment_id").distinct()
-    return table(spark, sf_dir, "record_results").select("result_id", "experiment_id").distinct().join(runs, "experiment_id", "left_semi").select("result_id")
+    results = table(spark, sf_dir, "record_results").select("result_id", "experiment_id").distinct()
+    return resolve.of_roles(results, table(spark, sf_dir, "gepa_experiments"), table(spark, sf_dir, "split_catalog"), "eval").select("result_id")
 
 
 @query("""WITH r AS (SELECT DISTINCT result_id, experiment_id, split_name FROM record_results LEFT JOIN (SELECT DISTINCT experiment_id, split_name FROM gepa_experiments) USING (experiment_id))
 SELECT split_name, count(*) AS n FROM r GROUP BY ALL""")
 def split_sizes(spark, sf_dir):
     """SRC-14 to SRC-16, SET-04: results per split, null for none."""
-    runs = table(spark, sf_dir, "gepa_experiments").select("experiment_id", "split_name").distinct()
-    rows = table(spark, sf_dir, "record_results").select("result_id", "experiment_id").distinct().join(runs, "experiment_id", "left")
-    return rows.groupBy("split_name").agg(F.count(F.lit(1)).alias("n"))
+    return resolve.split_counts(table(spark, sf_dir, "record_results").select("result_id", "experiment_id").distinct(), table(spark, sf_dir, "gepa_experiments"))
 
 
 # --- budgets, costs, counters ------------------------------------------------------------------------------
@@ -415,7 +428,7 @@ def running_progress(spark, sf_dir):
 
 # --- statistics --------------------------------------------------------------------------------------------
 
-_PAIRS = """WITH r AS (SELECT DISTINCT * FROM record_results), b AS (SELECT pmcid, max(primary_f1) FILTER (result_id % 2 = 0) AS a, max(primary_f1) FILTER (result_id % 2 = 1) AS b,
+_PAIRS = f"""WITH r AS (SELECT DISTINCT * REPLACE ({_PLAIN} AS pmcid) FROM record_results), b AS (SELECT pmcid, max(primary_f1) FILTER (result_id % 2 = 0) AS a, max(primary_f1) FILTER (result_id % 2 = 1) AS b,
   bool_or(category_correct) FILTER (result_id % 2 = 0) AS ca, bool_or(category_correct) FILTER (result_id % 2 = 1) AS cb FROM r WHERE pmcid IS NOT NULL GROUP BY ALL),
 p AS (SELECT * FROM b WHERE a IS NOT NULL AND b IS NOT NULL AND ca IS NOT NULL AND cb IS NOT NULL)
 """
@@ -424,7 +437,7 @@ p AS (SELECT * FROM b WHERE a IS NOT NULL AND b IS NOT NULL AND ca IS NOT NULL A
 def _pairs(spark, sf_dir):
     even = F.col("result_id") % 2 == 0
     pick = lambda f, c, cond: f(F.when(cond, F.col(c)))
-    rows = _results(spark, sf_dir).where("pmcid is not null").groupBy("pmcid").agg(
+    rows = _results(spark, sf_dir).withColumn("pmcid", plain_pmcid(F.col("pmcid"))).where("pmcid is not null").groupBy("pmcid").agg(
         pick(F.max, "primary_f1", even).alias("a"), pick(F.max, "primary_f1", ~even).alias("b"), pick(F.bool_or, "category_correct", even).alias("ca"), pick(F.bool_or, "category_correct", ~even).alias("cb")
     )
     return rows.dropna(subset=["a", "b", "ca", "cb"])
@@ -465,12 +478,12 @@ def stratified_splits(spark, sf_dir):
 
 
 @query("""SELECT doc_id, length(text)::BIGINT AS n, CASE WHEN length(text) > 400 THEN left(text, 280) || '~' || right(text, 120) ELSE text END AS cut,
-  cast(floor(length(text) / 4) AS INTEGER) AS tokens, right(text, 40) AS tail, translate(text, '‒–—―−', '-----') AS dashes FROM documents""")
+  cast(floor(length(text) / 4) AS INTEGER) AS tokens, CASE WHEN length(text) > 400 THEN left(text, 280) || '~' || right(text, 70) ELSE text END AS fitted, right(text, 40) AS tail, translate(text, '‒–—―−', '-----') AS dashes FROM documents""")
 def text_cuts(spark, sf_dir):
     """TXT-02 to TXT-04, TXT-06, TXT-14: cuts, estimates and dashes of document texts."""
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.length(t).cast("bigint").alias("n"), text.head_and_tail(t, 400, marker="~").alias("cut"), text.estimated_tokens(t).alias("tokens"), text.tail(t, 40).alias("tail"), text.unify_dashes(t).alias("dashes")
+        "doc_id", F.length(t).cast("bigint").alias("n"), text.head_and_tail(t, 400, marker="~").alias("cut"), text.estimated_tokens(t).alias("tokens"), text.fit_tokens(t, 100, marker="~").alias("fitted"), text.tail(t, 40).alias("tail"), text.unify_dashes(t).alias("dashes")
     )
 
 
@@ -624,6 +637,6 @@ def filled_down(spark, sf_dir):
 @query("""WITH x AS (SELECT regexp_extract(file_path, '([^/\\\\]*)$', 1) AS name FROM (SELECT DISTINCT file_id, file_path FROM xml_files))
 SELECT lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, count(*) AS n FROM x GROUP BY ALL""")
 def file_endings(spark, sf_dir):
-    """AGG-11, SRC-27, SRC-28: files per ending."""
+    """AGG-11: files per ending."""
     rows = table(spark, sf_dir, "xml_files").select("file_id", "file_path").distinct()
-    return rows.groupBy(F.lower(F.regexp_extract(F.regexp_extract("file_path", r"([^/\\]*)$", 1), r"\.([^.]+)$", 1)).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return files.endings(rows.withColumn("ext", files.ending(F.col("file_path"))))

@@ -131,6 +131,11 @@ def file_manifest(files: DataFrame) -> DataFrame:
     return files.groupBy("id").agg(F.count(F.lit(1)).alias("total_files"), listed.alias("files"))
 
 
+def ending(path: Column) -> Column:
+    """The ending of a path's last component in lower case, '' where it has none."""
+    return F.lower(F.regexp_extract(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.([^.]+)$", 1))
+
+
 def endings(files: DataFrame) -> DataFrame:
     return files.groupBy("ext").agg(F.count(F.lit(1)).alias("n"))
 
