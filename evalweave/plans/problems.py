@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.operators.nested import dewey_nodes, schema_path
+from evalweave.operators.nested import dewey_nodes, related_tables, schema_path
 from evalweave.operators.packed import packed_items
 from evalweave.operators.references import orphan_references, orphans_by_month
 from evalweave.session import table
@@ -36,6 +36,27 @@ def p2_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).groupBy("root_table", schema_path(F.col("node_path")).alias("schema_path")).agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+def _flat(name: str, doc: str):
+    source = ("gt_records", "gt_id", "gt_json", "json") if name in ("isolates", "envelopes", "antibiotics") else ("articles", "article_id", "raw_xml", "xml")
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = dewey_nodes(table(spark, sf_dir, source[0]), *source)
+        return related_tables(nodes)[name].select("root_id", "parent_path", "node_path", "node_name")
+
+    query.__name__, query.__doc__ = f"p2_{name}", doc
+    return query
+
+
+_FLAT = [
+    _flat("isolates", "Linked isolates as a table of their own."),
+    _flat("envelopes", "Susceptibility envelopes, each under its isolate."),
+    _flat("antibiotics", "Antibiotics, each under its envelope."),
+    _flat("sections", "Sections of articles of any depth, each under the one around it."),
+    _flat("tables", "Tables of articles, each under its section."),
+    _flat("table_rows", "Rows of tables, each under its table."),
+]
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_references(*(table(spark, sf_dir, t) for t in ("record_results", "articles", "xml_files")))
 
@@ -48,7 +69,7 @@ def p6_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans_by_month(_orphans(spark, sf_dir)).select("table_name", "month", "orphans")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_value_counts, p2_found, p2_schema, p6_found, p6_by_month)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_value_counts, p2_found, p2_schema, *_FLAT, p6_found, p6_by_month)}
 
 _PMCID = (
     "CASE WHEN regexp_matches({0}, '(?i)^\\s*(PMC)?[^0-9A-Za-z]*[0-9]+(\\.[0-9]+)?\\s*$') THEN 'PMC' || "
@@ -72,7 +93,48 @@ WITH refs AS (
 )
 """
 
+# names and numbers as they are written; trailing commas are taken out of texts that can't be read with them
+_JSON_NODES = """
+WITH d AS (SELECT DISTINCT gt_id, gt_json AS j FROM gt_records WHERE gt_json IS NOT NULL),
+f AS (SELECT gt_id, CASE WHEN json_valid(j) THEN j ELSE regexp_replace(j, ',(\\s*[}\\]])', '\\1', 'g') END AS j FROM d),
+v AS (SELECT gt_id, json_extract(j::JSON, '$.isolates_with_linking') AS l FROM f WHERE json_valid(j)),
+lists AS (SELECT gt_id, unnest(from_json(l, '["JSON"]')) AS b, unnest(range(1, json_array_length(l)::BIGINT + 1)) AS k FROM v WHERE json_type(l) = 'ARRAY'),
+maps AS (SELECT gt_id, unnest(json_keys(l)) AS n, unnest(range(1, len(json_keys(l)) + 1)) AS k, l FROM v WHERE json_type(l) = 'OBJECT'),
+isolates AS (
+  SELECT gt_id, k, b, CASE WHEN json_type(b, '$.isolate_id') IN ('ARRAY', 'OBJECT', 'NULL') THEN '' ELSE coalesce(json_extract_string(b, '$.isolate_id'), '') END AS name FROM lists WHERE json_type(b) = 'OBJECT'
+  UNION ALL SELECT gt_id, k, b, n FROM (SELECT gt_id, k, n, map_extract(from_json(l, '{"k": "JSON"}'::JSON)::MAP(VARCHAR, JSON), n)[1] AS b FROM maps) WHERE json_type(b) = 'OBJECT'),
+"""
+_JSON_NODES = _JSON_NODES.replace("map_extract(from_json(l, '{\"k\": \"JSON\"}'::JSON)::MAP(VARCHAR, JSON), n)[1]", "json_extract(l, '$.\"' || n || '\"')") + """a AS (SELECT gt_id, k, json_extract(b, '$.ast_data') AS x FROM isolates),
+e0 AS (SELECT gt_id, k, unnest(from_json(x, '["JSON"]')) AS b FROM a WHERE json_type(x) = 'ARRAY'
+  UNION ALL SELECT gt_id, k, x FROM a WHERE json_type(x) = 'OBJECT' AND (json_exists(x, '$.Serotype') OR json_exists(x, '$.Antibiotics'))),
+e1 AS (SELECT * FROM a LEFT JOIN LATERAL (SELECT 1) ON true)
+"""
+
+def _json_name(at: str) -> str:
+    return f"CASE WHEN json_type(b, '$.{at}') IN ('ARRAY', 'OBJECT', 'NULL') THEN '' ELSE coalesce(json_extract_string(b, '$.{at}'), '') END"
+
+
+def _members(rows: str, x: str) -> str:
+    return f"SELECT s.*, t.value AS m, t.id AS o FROM ({rows}) s, json_each(s.{x}) t WHERE json_type(s.{x}) = 'ARRAY' AND json_type(t.value) = 'OBJECT'"
+
+
+# trailing commas are taken out of texts that can't be read with them
+_JSON_NODES = f"""
+WITH d AS (SELECT DISTINCT gt_id, gt_json AS j FROM gt_records WHERE gt_json IS NOT NULL),
+f AS (SELECT gt_id, CASE WHEN json_valid(j) THEN j ELSE regexp_replace(j, ',(\\s*[}}\\]])', '\\1', 'g') END AS j FROM d),
+v AS (SELECT gt_id, json_extract(j, '$.isolates_with_linking') AS l FROM f WHERE json_valid(j)),
+n AS (SELECT gt_id, t.key AS key, t.value AS b, json_type(l) AS kind, row_number() OVER (PARTITION BY gt_id ORDER BY t.id) AS i FROM v, json_each(l) t WHERE json_type(l) IN ('ARRAY', 'OBJECT')),
+isolates AS (SELECT gt_id, '' AS parent_path, 'i' || i AS node_path, CASE WHEN kind = 'OBJECT' THEN key ELSE {_json_name("isolate_id")} END AS node_name, b FROM n WHERE json_type(b) = 'OBJECT'),
+a AS (SELECT gt_id, node_path AS p, json_extract(b, '$.ast_data') AS x FROM isolates),
+e AS ({_members("SELECT * FROM a", "x")} UNION ALL SELECT *, x, 0 FROM a WHERE json_type(x) = 'OBJECT' AND (json_exists(x, '$.Serotype') OR json_exists(x, '$.Antibiotics'))),
+envelopes AS (SELECT gt_id, p AS parent_path, p || '.e' || row_number() OVER (PARTITION BY gt_id, p ORDER BY o) AS node_path, {_json_name("Serotype")} AS node_name, b FROM (SELECT gt_id, p, o, m AS b FROM e)),
+g AS (SELECT gt_id, node_path AS p, json_extract(b, '$.Antibiotics') AS x FROM envelopes),
+h AS ({_members("SELECT * FROM g", "x")} UNION ALL SELECT *, x, 0 FROM g WHERE json_type(x) = 'OBJECT'),
+antibiotics AS (SELECT gt_id, p AS parent_path, p || '.a' || row_number() OVER (PARTITION BY gt_id, p ORDER BY o) AS node_path, {_json_name("Name")} AS node_name FROM (SELECT gt_id, p, o, m AS b FROM h))
+"""
+
 ORACLE = {
+    **{f"p2_{t}": _JSON_NODES + f"SELECT gt_id AS root_id, parent_path, node_path, node_name FROM {t}" for t in ("isolates", "envelopes", "antibiotics")},
     "p6_found": _ORPHANS + "SELECT table_name, row_id FROM found",
     "p6_by_month": _ORPHANS + "SELECT table_name, strftime(t, '%Y-%m') AS month, count(*) AS orphans FROM found GROUP BY ALL",
 }
