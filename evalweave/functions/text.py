@@ -6,7 +6,7 @@ unless they say otherwise. Blank handling follows Unicode, not ASCII.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _EDGE = r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -200,3 +200,36 @@ def search_query(pathogen: str, terms: list[str]) -> str:
     """A boolean search over title and abstract for a pathogen and any of the terms."""
     either = " OR ".join(f'"{t}"[Title/Abstract]' for t in terms)
     return f'("{pathogen}"[Title/Abstract]) AND ({either}) AND open access[filter]'
+
+
+# Fixed value: what an output says that doesn't go through with its task.
+_GIVES_UP = "will be extremely"
+
+
+def self_truncated(c: Column) -> Column:
+    """Whether an output stops of its own accord: it ends in dots or says that it would get too long; false for null."""
+    return F.coalesce(F.endswith(F.rtrim(F.regexp_replace(c, r"\s+$", "")), F.lit("...")) | F.contains(c, F.lit(_GIVES_UP)), F.lit(False))
+
+
+def metadata_only(c: Column) -> Column:
+    """Whether an article's XML has neither abstract nor body; true for null."""
+    return ~F.coalesce(F.contains(c, F.lit("<body>")) | F.contains(c, F.lit("<abstract>")), F.lit(False))
+
+
+def conversation(messages: Column) -> Column:
+    """An array of (role, text) as blocks under upper-case roles; the middle of long texts is left out."""
+    blocks = F.transform(messages, lambda m: F.concat(F.lit("["), F.upper(F.coalesce(m["role"], F.lit("unknown"))), F.lit("]\n"), shortened_message(F.coalesce(m["text"], F.lit("")))))
+    return F.array_join(blocks, "\n\n")
+
+
+def reasoning(c: Column) -> Column:
+    """The reasoning of an answer, '' where there is none."""
+    return F.coalesce(c, F.lit(""))
+
+
+def require_text(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows``, if the columns are text; values that can't be compared as text are an error of the schema."""
+    kinds = dict(rows.dtypes)
+    if wrong := [c for c in columns if kinds[c] != "string"]:
+        raise TypeError(f"not text: {wrong}")
+    return rows

@@ -122,3 +122,10 @@ def running_totals(rows: DataFrame, order: str, every: int, *sums: str) -> DataF
     before = totals.select("g", *[F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"_{c}") for c in ("n", *sums)])
     out = groups.join(before, "g")
     return out.select(F.col(order), *[(F.col(f"_{c}") + F.sum(c).over(inner)).alias(c) for c in ("n", *sums)])
+
+
+def size_summary(rows: DataFrame, tokens: str, *by: str) -> DataFrame:
+    """Documents, tokens and tokens a document; documents without a count are left out."""
+    known = rows.where(F.col(tokens).isNotNull())
+    n, total = F.count(F.lit(1)), F.coalesce(F.sum(tokens), F.lit(0))
+    return known.groupBy(*by).agg(n.alias("n_documents"), total.alias("n_tokens"), F.try_divide(total.cast("double"), n).alias("mean_tokens"))

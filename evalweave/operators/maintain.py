@@ -169,3 +169,13 @@ def fix_rows(definitions: Column) -> Column:
     one = F.transform(F.map_entries(F.coalesce(single, F.create_map().cast("map<string,struct<old_id:string,ensure_field:string,ensure_value:string>>"))), lambda e: F.struct(e["key"].alias("pmcid"), F.array(e["value"]["old_id"]).alias("old_ids"), e["value"]["ensure_field"].alias("field"), e["value"]["ensure_value"].alias("value")))
     many = F.transform(F.map_entries(F.coalesce(multi, F.create_map().cast("map<string,struct<old_ids:array<string>>>"))), lambda e: F.struct(e["key"].alias("pmcid"), e["value"]["old_ids"].alias("old_ids"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")))
     return F.concat(one, many)
+
+
+def orphan_fixes(fixes: DataFrame, gt: DataFrame, id_col: str) -> DataFrame:
+    """Fixes for documents that don't exist."""
+    return fixes.join(gt.select(id_col).distinct(), id_col, "left_anti")
+
+
+def of_day(tracker: DataFrame, date_col: str, day: str) -> DataFrame:
+    """Rows of a tracker that were written on a day (yyyy-MM-dd), whatever time is written with it."""
+    return tracker.where(F.contains(F.col(date_col).cast("string"), F.lit(day)))

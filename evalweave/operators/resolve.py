@@ -110,3 +110,40 @@ def split_counts(results: DataFrame, experiments: DataFrame) -> DataFrame:
     """Results per split; null for those without experiment or split."""
     runs = experiments.select("experiment_id", "split_name").distinct()
     return results.join(runs, "experiment_id", "left").groupBy("split_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_supplements(ids: DataFrame, supplements: DataFrame, id_col: str) -> DataFrame:
+    """Ids that have at least one supplementary file."""
+    return ids.join(supplements.select(id_col), id_col, "left_semi")
+
+
+def examples(ids: DataFrame, texts: DataFrame, gt: DataFrame, id_col: str, text_col: str, gt_col: str) -> tuple[DataFrame, DataFrame]:
+    """Ids with text and ground truth; and why the others are left out: id, reason (no text, no ground truth)."""
+    joined = ids.select(id_col).distinct().join(texts.select(id_col, text_col), id_col, "left").join(gt.select(id_col, gt_col), id_col, "left")
+    reason = F.when(F.coalesce(F.trim(text_col), F.lit("")) == "", "no text").when(F.col(gt_col).isNull(), "no ground truth")
+    marked = joined.withColumn("reason", reason)
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select(id_col, "reason")
+
+
+def mapped_ids(ids: DataFrame, links: DataFrame, id_col: str, to_col: str) -> tuple[DataFrame, DataFrame]:
+    """Ids with the id they are linked to (the least one where there are several), and the ids without a link."""
+    one = links.where(F.col(to_col).isNotNull()).groupBy(id_col).agg(F.min(to_col).alias(to_col))
+    both = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(one, id_col, "left")
+    return both.where(F.col(to_col).isNotNull()), both.where(F.col(to_col).isNull()).select(id_col)
+
+
+def split_by_list(ids: DataFrame, listed: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Ids that aren't on a list, and those that are."""
+    names = listed.select(id_col).distinct()
+    return ids.join(names, id_col, "left_anti"), ids.join(names, id_col, "left_semi")
+
+
+def flagged(rows: DataFrame, id_col: str, lists: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with the names of the lists (of known issues, say) that their id is on."""
+    named = [F.when(F.col(id_col).isin(ids), F.lit(name)) for name, ids in sorted(lists.items()) if ids]
+    return rows.withColumn("flags", F.array_compact(F.array(*named)) if named else F.array().cast("array<string>"))
+
+
+def first_files(listing: DataFrame, n: int, path_col: str = "path") -> DataFrame:
+    """The first ``n`` files by name (that is the feature)."""
+    return listing.orderBy(F.regexp_extract(path_col, r"([^/\\]*)$", 1), path_col).limit(n)

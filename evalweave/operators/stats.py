@@ -167,3 +167,32 @@ def nested_splits(rows: DataFrame, id_col: str, size_col: str, shares: tuple[int
     split = placed(strata, "stratum", seed + 1, Window.partitionBy("stratum").orderBy("_b")).withColumn("share", share.cast("int"))
     rest = rows.where(F.col(size_col).isNull()).withColumns({"stratum": F.lit(None).cast("int"), "share": F.lit(None).cast("int")})
     return split.select(*rows.columns, "stratum", "share").unionByName(rest)
+
+
+def pareto_candidates(scores: DataFrame, candidate: str, example: str, score: str) -> DataFrame:
+    """Candidates that are best on at least one example, and on how many: the pool a prompt search draws from.
+
+    In: one score a candidate and example (the best one counts where there are more).
+    """
+    best = scores.groupBy(example).agg(F.max(score).alias("_best"))
+    own = scores.where(F.col(score).isNotNull() & F.col(candidate).isNotNull()).groupBy(candidate, example).agg(F.max(score).alias("_s"))
+    return own.join(best, example).where("_s = _best").groupBy(candidate).agg(F.count(F.lit(1)).alias("n_best"))
+
+
+def eligible(items: DataFrame, texts: DataFrame, least_fields: int = 2) -> DataFrame:
+    """Documents fit for a holdout: all their isolate ids stand in the text, and they have so many kinds of fields.
+
+    items: doc_id, section, iso_id, field; texts: doc_id, text (one each).
+    """
+    ids = items.where("section in ('iwl', 'iwol') and iso_id is not null and iso_id <> 'NO_ISOLATE_ID'").select("doc_id", "iso_id").distinct()
+    there = ids.join(texts.select("doc_id", "text"), "doc_id", "left").withColumn("hit", F.coalesce(F.contains("text", "iso_id"), F.lit(False)))
+    whole = there.groupBy("doc_id").agg(F.bool_and("hit").alias("all_in_text"), F.count(F.lit(1)).alias("n_ids"))
+    fields = items.where("field <> ''").groupBy("doc_id").agg(F.count_distinct("field").alias("n_fields"))
+    return whole.join(fields, "doc_id").where(F.col("all_in_text") & (F.col("n_fields") >= least_fields)).select("doc_id", "n_ids", "n_fields")
+
+
+def population(rows: DataFrame, by: list[str], result: str) -> DataFrame:
+    """Shares of resistant, intermediate and susceptible isolates per group: total, present (with a result), r, i and s in percent."""
+    n = F.count(result)
+    share = lambda x: F.coalesce(F.try_divide(F.count_if(F.upper(result) == x) * F.lit(100.0), n), F.lit(0.0))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), n.alias("present"), share("R").alias("r_percent"), share("I").alias("i_percent"), share("S").alias("s_percent"))

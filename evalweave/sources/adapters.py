@@ -101,3 +101,59 @@ def endpoint(service: str, **params: str) -> str:
 def provider(model: str) -> str:
     """Whose credentials a model name needs: the part before its slash."""
     return model.split("/", 1)[0] if "/" in model else "local"
+
+
+class Chat:
+    """A language model behind one call: prompts or message lists in, texts out.
+
+    ``send`` maps a list of messages (role, content) to a text, or to its pieces
+    where the service streams them.
+    """
+
+    def __init__(self, send: Callable[[list[dict]], str | Iterable[str]]) -> None:
+        self.send = send
+
+    def __call__(self, texts: list[str | list[dict]]) -> list[str]:
+        return [joined(self.send([{"role": "user", "content": t}] if isinstance(t, str) else t)) for t in texts]
+
+
+def joined(answer: str | Iterable[str | None]) -> str:
+    """A streamed answer as one text; pieces without text are skipped."""
+    return answer if isinstance(answer, str) else "".join(p for p in answer if p)
+
+
+class Http:
+    """Addresses in, documents out; a status other than 200 raises, so ``with_retry`` tries again."""
+
+    def __init__(self, get: Callable[[str], tuple[int, str]] | None = None, pause: float = 0.34) -> None:
+        self.get, self.pause = get or _get, pause
+
+    def __call__(self, urls: list[str]) -> list[str]:
+        out = []
+        for url in urls:
+            status, body = self.get(url)
+            if status != 200:
+                raise ConnectionError(f"{status} for {url}")
+            out.append(body)
+            time.sleep(self.pause)
+        return out
+
+
+def _get(url: str) -> tuple[int, str]:
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url, timeout=30) as r:
+            return r.status, r.read().decode("utf-8", "replace")
+    except HTTPError as e:
+        return e.code, ""
+
+
+def links(ids: DataFrame, id_col: str, fetcher: Extractor, attempts: int = 3) -> DataFrame:
+    """The PMC id that the link service names for each id: id, linked (null where there is none), error."""
+    asked = ids.select(F.col(id_col).cast("string").alias("id")).distinct()
+    url = F.concat(F.lit(endpoint("elink", dbfrom="pubmed", db="pmc", retmode="json") + "&id="), F.col("id"))
+    got = extract(asked.withColumn("url", url), "id", "url", fetcher, attempts)
+    first = F.get_json_object("raw", "$.linksets[0].linksetdbs[0].links[0]")
+    return got.select("id", F.when(first.isNotNull(), F.concat(F.lit("PMC"), F.regexp_extract(first, r"(\d+)", 1))).alias("linked"), "error")

@@ -167,3 +167,23 @@ def rules_text(spark: SparkSession, path: str) -> str | None:
     if "://" not in path and not os.path.exists(path):
         return None
     return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
+def sheet(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A sheet saved as CSV: text columns under trimmed names, with _row, its rows in order; columns without a name are dropped."""
+    rows = spark.read.option("header", "true").option("sep", sep).option("multiLine", "true").option("escape", '"').option("inferSchema", "false").csv(path)
+    named = [c for c in rows.columns if c.strip() and not c.startswith("_c")]
+    return rows.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(c.strip()) for c in named])
+
+
+def legend_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A legend's first two columns: abbrev (upper case), full_name (lower case); rows with a blank one are left out."""
+    rows = sheet(spark, path)
+    a, b = rows.columns[1:3]
+    out = rows.select(F.upper(strip(F.col(f"`{a}`"))).alias("abbrev"), F.lower(strip(F.col(f"`{b}`"))).alias("full_name"))
+    return out.where("abbrev <> '' and full_name <> ''")
+
+
+def strict_json(c: Column) -> Column:
+    """JSON text as VARIANT; text that can't be read is an error, null stays null."""
+    return F.parse_json(c)

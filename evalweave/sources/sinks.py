@@ -16,6 +16,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalweave.functions.text import shortened_message
 from evalweave.operators.scoring import aggregate, confusion
 
 # The columns of a results file.
@@ -33,8 +34,10 @@ def write_results_csv(results: DataFrame, path: str) -> None:
     as_text(results).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_results_json(results: DataFrame, path: str) -> None:
+def write_results_json(results: DataFrame, path: str, **metadata) -> None:
+    """All records as JSON lines, and what is known of the run beside them (``path``.metadata.json)."""
     results.write.mode("overwrite").json(path)
+    write_json({**metadata, "total_records": results.count()}, f"{path}.metadata.json")
 
 
 def summary(results: DataFrame, label: str, top: int = 10) -> dict:
@@ -68,7 +71,7 @@ def print_summary(results: DataFrame, worst: int = 5) -> None:
 def write_report(results: DataFrame, folder: str, label: str) -> None:
     """CSV and JSON of all records and the summary. ``results`` is read several times; persist it if it is costly."""
     write_results_csv(results, f"{folder}/results_csv")
-    write_results_json(results, f"{folder}/results_json")
+    write_results_json(results, f"{folder}/results_json", run_label=label)
     write_json(summary(results, label), f"{folder}/summary.json")
 
 
@@ -134,3 +137,68 @@ def append_changelog(entries: list[dict], path: str) -> int:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(old, f, ensure_ascii=False, indent=1, default=str)
     return len(old)
+
+
+# Columns of a manifest, and of the short one.
+MANIFEST = "pmcid gt_category ext_category primary_f1 tp fp fn gt_item_count ext_item_count gt_found ext_found xml_found".split()
+SHORT_MANIFEST = "pmcid gt_found xml_found".split()
+
+
+def write_manifest(rows: DataFrame, path: str, short: bool = False, apply: bool = False) -> int:
+    """A manifest of records as CSV, only with ``apply``; returns the number of rows."""
+    out = rows.select(*(SHORT_MANIFEST if short else MANIFEST))
+    if apply:
+        out.write.mode("overwrite").option("header", "true").csv(path)
+    return out.count()
+
+
+def write_run_metadata(path: str, run: str, **settings) -> dict:
+    """What a run was started with, as one JSON file."""
+    value = {"run": run, "timestamp": datetime.now(timezone.utc).isoformat(), "settings": settings}
+    write_json(value, path)
+    return value
+
+
+def write_predictions(rows: DataFrame, path: str, status_col: str = "status") -> None:
+    """Predictions as JSON lines, their status in lower case (``pending`` where there is none)."""
+    rows.withColumn(status_col, F.lower(F.coalesce(F.col(status_col), F.lit("pending")))).write.mode("overwrite").json(path)
+
+
+def log_entries(events: DataFrame) -> DataFrame:
+    """Run events as lines of a log: at, line. In: at, id, status (ok, failed, other), message (null: none).
+
+    Long messages lose their middle. Lines are a table, so a log of any length is appended and read in parts.
+    """
+    mark = F.when(F.col("status") == "ok", "OK").when(F.col("status") == "failed", "FAILED").otherwise(F.upper(F.coalesce("status", F.lit("note"))))
+    return events.select("at", F.concat_ws(" ", F.col("at").cast("string"), mark, F.coalesce("id", F.lit("-")), shortened_message(F.regexp_replace(F.coalesce("message", F.lit("")), r"[\r\n]+", " "))).alias("line"))
+
+
+def log_footer(events: DataFrame) -> str:
+    """The last line of a log: how many entries, and how many failed."""
+    n = events.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failed").alias("failed")).first()
+    return f"{n['n']} entries, {n['failed']} failed"
+
+
+def append_missing(ids: DataFrame, path: str, day: str, reason: str) -> None:
+    """Ids that weren't found, appended under their day."""
+    append_table(ids.withColumns({"reason": F.lit(reason), "day": F.lit(day)}), path, "day")
+
+
+def status_text(counts: dict[str, int | float], title: str) -> str:
+    """Status counts as a short report."""
+    width = max(map(len, counts), default=0)
+    return "\n".join([title, "=" * len(title), *[f"{k.ljust(width)}  {v:.1f}" if isinstance(v, float) else f"{k.ljust(width)}  {v}" for k, v in counts.items()]]) + "\n"
+
+
+def save_program(path: str, name: str, program: dict, results: dict) -> None:
+    """A prompt program with its results, beside the earlier ones of a registry file; the last one of a name counts."""
+    append_changelog([{"name": name, "saved_at": datetime.now(timezone.utc).isoformat(), "program": program, "results": results}], path)
+
+
+def load_program(path: str, name: str) -> dict | None:
+    """The last program saved under a name, None where there is none."""
+    if not os.path.exists(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        found = [e for e in json.load(f) if e.get("name") == name]
+    return found[-1]["program"] if found else None
