@@ -132,7 +132,7 @@ def score_bin(c: Column) -> Column:
     return F.when(c <= 0, 0).when(c < 0.2, 1).when(c < 0.4, 2).when(c < 0.6, 3).when(c < 0.8, 4).otherwise(5)
 
 
-def nested_splits(rows: DataFrame, id_col: str, size_col: str, shares: tuple[int, ...] = (10, 20, 30), seed: int = 17, width: int = 10_000) -> DataFrame:
+def nested_splits(rows: DataFrame, id_col: str, size_col: str, shares: tuple[int, ...] = (10, 20, 30), seed: int = 17, width: int = 10_000, hashed=None) -> DataFrame:
     """Stratified, nested splits: with stratum (quarter by size) and the smallest share a row is in, null for the rest.
 
     Strata are as ntile(4) makes them, rows of equal size in the order of a hash,
@@ -141,6 +141,7 @@ def nested_splits(rows: DataFrame, id_col: str, size_col: str, shares: tuple[int
     rounded up, so no stratum is left out. Rows without size are in no split.
     Places come from counts per range of the hash first (of about ``width``
     rows), so neither a stratum nor a frequent size is ever in one task.
+    ``hashed`` gives a 62-bit hash of (id column, seed) instead of the built-in one.
     """
     rows = checkpointed(rows)
     known = rows.where(F.col(size_col).isNotNull())
@@ -149,13 +150,13 @@ def nested_splits(rows: DataFrame, id_col: str, size_col: str, shares: tuple[int
 
     def placed(df: DataFrame, key: str, seed: int, whole: Window) -> DataFrame:
         """With _i, the place from 1 by the hash (within ``key``, or by ``key`` first): ``whole`` says where counting starts."""
-        h = F.xxhash64(F.col(id_col), F.lit(seed))
-        r = df.withColumn("_h", h).withColumn("_p", F.shiftrightunsigned("_h", 2)).withColumn("_b", F.expr(f"_p div {step}L"))
+        h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 2) if hashed is None else hashed(F.col(id_col), seed)
+        r = df.withColumn("_p", h).withColumn("_b", F.expr(f"_p div {step}L"))
         counts = r.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_k"))
         before = F.coalesce(F.sum("_k").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per key and range of the hash
-        inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy("_p", "_h", id_col))
+        inside = F.row_number().over(Window.partitionBy(key, "_b").orderBy("_p", id_col))
         starts = counts.select(key, "_b", before.alias("_s"))
-        return r.withColumn("_j", inside).join(starts, [key, "_b"]).withColumn("_i", F.col("_s") + F.col("_j")).drop("_h", "_p", "_b", "_s", "_j")
+        return r.withColumn("_j", inside).join(starts, [key, "_b"]).withColumn("_i", F.col("_s") + F.col("_j")).drop("_p", "_b", "_s", "_j")
 
     q, more = divmod(total, 4)  # the first ``more`` strata have q + 1 rows
     cut = more * (q + 1)

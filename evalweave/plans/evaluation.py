@@ -74,14 +74,15 @@ def match_recovered(spark, sf_dir):
 
 @query(
     bridge.SQL_ITEMS
-    + """, gs AS (SELECT DISTINCT doc_id, lower(norm) AS norm FROM gt WHERE field = 'mlst'), es AS (SELECT DISTINCT doc_id, lower(norm) AS norm FROM ext WHERE field = 'mlst')
+    + """, gs AS (SELECT DISTINCT doc_id, lower(iso_id) AS norm FROM gt), es AS (SELECT DISTINCT doc_id, lower(iso_id) AS norm FROM ext)
 SELECT coalesce(gs.doc_id, es.doc_id) AS doc_id, count(gs.norm) FILTER (es.norm IS NOT NULL) AS tp, count(*) FILTER (gs.norm IS NULL) AS fp, count(*) FILTER (es.norm IS NULL) AS fn
 FROM gs FULL JOIN es ON gs.doc_id = es.doc_id AND gs.norm = es.norm GROUP BY ALL"""
 )
 def match_id_sets(spark, sf_dir):
-    """SET-01: intersection and differences of id sets per document."""
+    """SET-01, SET-05: intersection and differences of the sets of isolate ids per document."""
     gt, ext = bridge.items(spark, sf_dir)
-    return matching.id_sets(gt.where("field = 'mlst'"), ext.where("field = 'mlst'"))
+    ids = lambda df: df.select("doc_id", F.lower("iso_id").alias("norm"))
+    return matching.id_sets(ids(gt), ids(ext))
 
 
 @query(
@@ -369,6 +370,20 @@ def split_sizes(spark, sf_dir):
     return resolve.split_counts(table(spark, sf_dir, "record_results").select("result_id", "experiment_id").distinct(), table(spark, sf_dir, "gepa_experiments"))
 
 
+@query(f"""WITH g AS (SELECT {_PLAIN} AS id, max(gt_json IS NOT NULL) AS has FROM gt_records GROUP BY ALL),
+t AS (SELECT {_PLAIN} AS id, max(text) AS text FROM documents WHERE doc_type = 'article' GROUP BY ALL),
+x AS (SELECT DISTINCT {_PLAIN} AS id FROM articles)
+SELECT coalesce(CASE WHEN coalesce(trim(text, ' '), '') = '' THEN 'no text' WHEN NOT coalesce(has, false) THEN 'no ground truth' END, 'ready') AS reason, count(*) AS n FROM x LEFT JOIN g USING (id) LEFT JOIN t USING (id) WHERE id IS NOT NULL GROUP BY ALL""")
+def examples_by_reason(spark, sf_dir):
+    """J-07: loaded articles that have text and ground truth, and why the others can't serve as examples."""
+    key = plain_pmcid(F.col("pmcid")).alias("id")
+    ids = table(spark, sf_dir, "articles").select(key).where("id is not null")
+    texts = table(spark, sf_dir, "documents").where("doc_type = 'article'").select(key, "text").groupBy("id").agg(F.max("text").alias("text"))
+    gt = table(spark, sf_dir, "gt_records").where("gt_json is not null").select(key).where("id is not null").distinct().withColumn("gt", F.lit(True))
+    good, rest = resolve.examples(ids, texts, gt, "id", "text", "gt")
+    return good.select(F.lit("ready").alias("reason")).unionByName(rest.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- budgets, costs, counters ------------------------------------------------------------------------------
 
 
@@ -426,6 +441,13 @@ def running_progress(spark, sf_dir):
     return budget.running_totals(ordered.numbered(rows, "extraction_id"), "i", 10, "ms", "t")
 
 
+@query("""SELECT source, count(*) AS n_documents, cast(sum(length(text) // 4) AS BIGINT) AS n_tokens, round(sum(length(text) // 4)::DOUBLE / count(*), 6) AS mean_tokens FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
+def size_by_source(spark, sf_dir):
+    """AGG-20, TXT-04: documents and estimated tokens per source."""
+    rows = table(spark, sf_dir, "documents").select("source", text.estimated_tokens(F.col("text")).alias("tokens"))
+    return budget.size_summary(rows, "tokens", "source").withColumn("mean_tokens", F.round("mean_tokens", 6))
+
+
 # --- statistics --------------------------------------------------------------------------------------------
 
 _PAIRS = f"""WITH r AS (SELECT DISTINCT * REPLACE ({_PLAIN} AS pmcid) FROM record_results), b AS (SELECT pmcid, max(primary_f1) FILTER (result_id % 2 = 0) AS a, max(primary_f1) FILTER (result_id % 2 = 1) AS b,
@@ -460,6 +482,15 @@ def paired_mcnemar(spark, sf_dir):
     return stats.mcnemar(_pairs(spark, sf_dir), "ca", "cb")
 
 
+@query(f"""WITH r AS (SELECT experiment_id AS c, {_PLAIN} AS e, max(primary_f1) AS s FROM record_results WHERE experiment_id IS NOT NULL AND primary_f1 IS NOT NULL GROUP BY ALL),
+b AS (SELECT e, max(s) AS s FROM r WHERE e IS NOT NULL GROUP BY ALL)
+SELECT c AS experiment_id, count(*) AS n_best FROM r JOIN b USING (e, s) GROUP BY ALL""")
+def pareto_experiments(spark, sf_dir):
+    """UDX-09: experiments that are best on some article, the pool a prompt search draws from."""
+    rows = table(spark, sf_dir, "record_results").where("experiment_id is not null").select("experiment_id", plain_pmcid(F.col("pmcid")).alias("e"), "primary_f1").where("e is not null")
+    return stats.pareto_candidates(rows, "experiment_id", "e", "primary_f1")
+
+
 @query()
 def paired_bootstrap(spark, sf_dir):
     """STA-02: interval of the mean difference by 10,000 reproducible rounds."""
@@ -474,6 +505,21 @@ def stratified_splits(spark, sf_dir):
     return stats.nested_splits(sizes, "doc_id", "n")
 
 
+def _md5(c, seed: int):
+    """60 bits of a hash that SQL engines have, too."""
+    return F.conv(F.left(F.md5(F.concat(c.cast("string"), F.lit(f"-{seed}"))), F.lit(15)), 16, 10).cast("bigint")
+
+
+@query("""WITH d AS (SELECT doc_id, length(text) AS n, ('0x' || md5(doc_id || '-17')[:15])::BIGINT AS h, ('0x' || md5(doc_id || '-18')[:15])::BIGINT AS g FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, ntile(4) OVER (ORDER BY n, h, doc_id) AS stratum FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY g, doc_id) AS i, count(*) OVER (PARTITION BY stratum) AS k FROM s)
+SELECT doc_id, stratum::INTEGER AS stratum, (CASE WHEN i <= ceil(k * 10 / 100) THEN 10 WHEN i <= ceil(k * 20 / 100) THEN 20 WHEN i <= ceil(k * 30 / 100) THEN 30 END)::INTEGER AS share FROM p""")
+def stratified_documents(spark, sf_dir):
+    """STA-06: nested splits of documents, stratified by length."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length("text").alias("n"))
+    return stats.nested_splits(rows, "doc_id", "n", hashed=_md5).select("doc_id", "stratum", "share")
+
+
 # --- text, XML, accessions ---------------------------------------------------------------------------------
 
 

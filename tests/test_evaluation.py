@@ -416,3 +416,10 @@ def test_streams(spark, tmp_path):
     assert got == [("a", 0, True), ("a", 0, True), ("a", 6, False), ("b", 0, True)]
     jobs.run_upserts(jobs.event_stream(spark, str(tmp_path / "in"), ddl), str(tmp_path / "tr"), str(tmp_path / "cp2"), ["k"], "ts")
     assert {(r.k, r.ts) for r in jobs.current(spark, str(tmp_path / "tr")).collect()} == {("a", t + dt.timedelta(seconds=70)), ("b", t)}
+    # later batches rewrite only the buckets they touch
+    for day in range(1, 4):
+        spark.createDataFrame([("a", t + dt.timedelta(days=day), day), (f"new{day}", t, 0)], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.run_upserts(jobs.event_stream(spark, str(tmp_path / "in"), ddl), str(tmp_path / "tr"), str(tmp_path / "cp2"), ["k"], "ts")
+    now = {r.k: r.n for r in jobs.current(spark, str(tmp_path / "tr")).collect()}
+    assert now == {"a": 3, "b": 1, "new1": 0, "new2": 0, "new3": 0}
+    assert len({v for v in jobs._versions(spark, str(tmp_path / "tr")).values()}) > 1 and jobs._versions(spark, str(tmp_path / "tr"), 1).keys() == jobs._versions(spark, str(tmp_path / "tr"), 1).keys() - {None}
