@@ -181,3 +181,16 @@ def test_entry_needs_no_subpackage():
     names = e.queries()
     assert {"p1_found", "p2_found", "p6_found"} <= set(names) and set(e.oracle_sql()) <= set(names)
     assert not any(re.search(r"\blimit\b", s, re.I) for n, s in e.oracle_sql().items() if n.startswith("p"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_read_once(spark):
+    """One Python step a table, and one fold a field: what reads documents isn't pushed into filters."""
+    gt = spark.createDataFrame([(1, "{}", "", "", "")], GT)
+    legend = spark.createDataFrame(NAMES, LEGEND)
+    plan = _plan(packed_items(gt, legend))
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("aggregate(") == 1
+    assert _plan(dewey_nodes(gt, "gt_records", "gt_id", "gt_json", "json")).count("ArrowEvalPython") == 1
