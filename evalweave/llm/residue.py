@@ -374,7 +374,7 @@ def residue_kind(text: Column, coverage: float = COVERAGE) -> Column:
         find = _shared[coverage].residue
         return pa.array([find(t.as_py()) for t in texts], pa.string())
 
-    return kinds(text)
+    return kinds.asNondeterministic()(text)  # or a filter on the kind would read every text again
 
 
 def with_residue(documents: DataFrame, text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:

@@ -399,3 +399,15 @@ def test_with_residue(spark):
     df = residue.with_residue(spark.createDataFrame(rows, "doc_id int, text string, kind string"))
     assert df.where("residue is not null").count() == len(_RESIDUE) and df.columns == ["doc_id", "text", "kind", "residue"]
     assert df.limit(0).count() == 0
+
+
+# --- all ---
+
+
+def test_texts_are_read_once(spark):
+    """One Python step a table, also where a filter follows."""
+    python = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    df = spark.createDataFrame([(1, "{}")], "gt_id bigint, gt_json string")
+    assert python(charforms.inconsistent_values(df)) == 1
+    assert python(df.select("gt_id", bpe.token_ids(F.col("gt_json")).alias("ids")).where(F.size("ids") > 0)) == 1
+    assert python(residue.with_residue(df, "gt_json").where("residue is not null")) == 1
