@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.functions.normalise import ASSAY_FIELDS
-from evalweave.functions.text import message_lines, strip
+from evalweave.functions.text import message_lines, sample_label, strip
+from evalweave.session import checkpointed
 
 # How antigenic formulas and population-level values are written.
 ANTIGENIC_FORMULA = r"^\d[\d,\[\]]*:\w[\w,\-]*:[\w,\-]*$"
 POPULATION = r"(?i)\d+\.?\d*\s*%|\d+/\d+|\b(?:proportion|prevalence|frequency)\b"
 
 
+def _first(rows: DataFrame, value: Column, k: int, *order: str) -> DataFrame:
+    """The first ``k`` values of each document by ``order``: doc_id, sample. The rest never leaves its task."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    kept = rows.withColumn("_place", place).where(F.col("_place") <= k)
+    return kept.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", value.alias("v")))), lambda x: x["v"]).alias("sample"))
+
+
 def table_gap(gt_ids: DataFrame, ext_ids: DataFrame, texts: DataFrame, sample: int = 5) -> DataFrame:
     """Isolates that stand in the article but weren't extracted: doc_id, n, sample.
 
@@ -21,8 +29,7 @@ def table_gap(gt_ids: DataFrame, ext_ids: DataFrame, texts: DataFrame, sample: i
     """
     missed = gt_ids.select("doc_id", "iso_id").distinct().join(ext_ids.select("doc_id", "iso_id").distinct(), ["doc_id", "iso_id"], "left_anti")
     there = missed.join(texts.select("doc_id", "text"), "doc_id").where(F.contains("text", "iso_id")).select("doc_id", "iso_id")
-    ids = F.array_sort(F.collect_list("iso_id"))  # one document's isolates
-    return there.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.slice(ids, 1, sample).alias("sample"))
+    return there.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(_first(there, F.col("iso_id"), sample, "iso_id"), "doc_id")
 
 
 def linking_failure(rows: DataFrame) -> DataFrame:
@@ -35,14 +42,14 @@ def missed_formulas(gt_items: DataFrame, ext_items: DataFrame, sample: int = 3)
     """Serotypes of the truth written as antigenic formulas that weren't extracted."""
     values = lambda df: df.where("field = 'serotype'").select("doc_id", F.explode(F.split("norm", r"\|")).alias("v")).distinct()
     gone = values(gt_items).join(values(ext_items), ["doc_id", "v"], "left_anti").where(F.col("v").rlike(ANTIGENIC_FORMULA))
-    return gone.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("v")), 1, sample).alias("sample"))
+    return _first(gone, F.col("v"), sample, "v")
 
 
 def population_values(ext_items: DataFrame, sample: int = 3) -> DataFrame:
     """Shares and prevalences given as values of single isolates."""
     rows = ext_items.where(F.col("section") == "iwl").where(F.col("orig").rlike(POPULATION))
-    picked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "iso_id", "field", "orig"))), 1, sample), lambda x: F.concat(x["iso_id"], F.lit("."), x["field"], F.lit("="), F.left(x["orig"], F.lit(50))))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), picked.alias("sample"))
+    label = sample_label(F.concat_ws(".", "iso_id", "field"), F.col("orig"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(_first(rows, label, sample, "pos", "iso_id", "field", "orig"), "doc_id")
 
 
 def unknown_fields(raw_fields: DataFrame) -> DataFrame:
@@ -85,3 +92,28 @@ def values_in_text(values: DataFrame, texts: DataFrame) -> DataFrame:
     """Whether a value stands in its document's text, whatever the case. In: doc_id, value; doc_id, text."""
     low = texts.select("doc_id", F.lower("text").alias("_t"))
     return values.join(low, "doc_id", "left").withColumn("in_text", F.coalesce(F.contains("_t", F.lower("value")), F.lit(False))).drop("_t")
+
+
+def assay_metric(rows: DataFrame, id_col: str, gt_col: str, raw_col: str, with_feedback: bool = False) -> DataFrame:
+    """Strict F1 of each raw output against its ground truth: id, score, and with it the feedback text.
+
+    One row an id; null texts on either side score 0. This is the metric that a
+    prompt search calls, over as many examples as it likes at once.
+    """
+    from evalweave.operators import items, scoring
+
+    docs = checkpointed(rows.select(F.col(id_col).alias("doc_id"), F.col(gt_col).alias("gt"), F.col(raw_col).alias("raw")))
+    gt, ext = checkpointed(items.ground_truth_items(docs, "doc_id", "gt")), checkpointed(items.output_items(docs, "doc_id", "raw"))
+    scores = scoring.score_documents(docs, gt, ext)
+    out = scores.select(F.col("doc_id").alias(id_col), F.col("primary_f1").alias("score"))
+    if not with_feedback:
+        return out
+    sections = items.output_categories(docs, "doc_id", "raw").select("doc_id", "iwl", "iwol", "bare")
+    truth = items.categories(gt).select("doc_id", F.col("category").alias("gt_category"))
+    found = {
+        "linking": linking_failure(sections.join(truth, "doc_id")).select("doc_id", "linking"),
+        "fields": unknown_fields(items.output_fields(docs, "doc_id", "raw")),
+        "formulas": missed_formulas(gt, ext),
+        "population": population_values(ext),
+    }
+    return out.join(composed(scores, **found).withColumnRenamed("doc_id", id_col), id_col)

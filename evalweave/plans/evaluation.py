@@ -64,7 +64,19 @@ def match_wrong_items(spark, sf_dir):
     return e.where("not hit").select("doc_id", "field", "iso_id", "norm", F.array_contains(F.array_distinct(F.split("norm", " ")), "x").alias("has_x"))
 
 
-@query()
+# greedy: each wrong item in turn takes the first missed one that is still free and whose words it holds, or is held by
+_WORDS_OF = "list_distinct(string_split({0}, ' '))"
+_HELD = f"CASE WHEN len({_WORDS_OF.format('f')}) <= len({_WORDS_OF.format('x[1]')}) THEN list_has_all({_WORDS_OF.format('x[1]')}, {_WORDS_OF.format('f')}) ELSE list_has_all({_WORDS_OF.format('f')}, {_WORDS_OF.format('x[1]')}) END"
+_TAKEN = f"coalesce(nullif(list_position(list_transform(free, lambda f: {_HELD}), true), 0), len(free) + 1)"
+
+
+@query(
+    bridge.SQL_ITEMS
+    + f""", missed AS (SELECT doc_id, field, list(norm ORDER BY pos, norm) AS missed FROM g WHERE NOT hit GROUP BY ALL),
+wrong AS (SELECT doc_id, field, list([norm] ORDER BY pos, norm) AS wrong FROM e WHERE NOT exact AND NOT lenient GROUP BY ALL),
+r AS (SELECT doc_id, field, len(missed) - len(list_reduce(list_prepend(missed, wrong), lambda free, x: list_concat(free[:{_TAKEN} - 1], free[{_TAKEN} + 1:]))) AS recovered FROM missed JOIN wrong USING (doc_id, field))
+SELECT doc_id, field, recovered FROM r WHERE recovered > 0"""
+)
 def match_recovered(spark, sf_dir):
     """J-13, TXT-10: wrong items that hold the tokens of a missed one, greedily one to one."""
     gt, ext = bridge.items(spark, sf_dir)
@@ -539,15 +551,6 @@ def text_stripped(spark, sf_dir):
     return table(spark, sf_dir, "articles").where("raw_xml is not null").select("article_id", F.md5(text.strip_tags(F.col("raw_xml"))).alias("h"))
 
 
-@query("""SELECT lang, ch AS character, cast(sum(length(text) - length(replace(text, ch, ''))) AS BIGINT) AS n, count(*) AS n_texts
-FROM documents CROSS JOIN (VALUES ('–'), ('—'), ('−'), (chr(160)), ('“'), ('”'), ('’')) v(ch) WHERE text LIKE '%' || ch || '%' GROUP BY ALL""")
-def text_characters(spark, sf_dir):
-    """AGG-17: occurrences per language of the seven characters its SQL lists; text_characters_all has them all."""
-    rows = maintain.character_issues(table(spark, sf_dir, "documents"), "text", "lang")
-    shown = {f"U+{ord(c):04X}": c for c in "–—− “”’"}
-    return rows.where(F.col("character").isin(list(shown))).select("lang", F.coalesce(*[F.when(F.col("character") == k, F.lit(v)) for k, v in shown.items()]).alias("character"), "n", "n_texts")
-
-
 @query("""WITH v(kind, code) AS (VALUES ('deleted', 8203), ('deleted', 8204), ('deleted', 8205), ('deleted', 8206), ('deleted', 8207), ('deleted', 8234), ('deleted', 8235), ('deleted', 8236),
   ('deleted', 8237), ('deleted', 8238), ('deleted', 8288), ('deleted', 8294), ('deleted', 8295), ('deleted', 8296), ('deleted', 8297), ('deleted', 65279),
   ('deleted', 173), ('deleted', 8224), ('spelled', 160), ('spelled', 8201), ('spelled', 8239), ('spelled', 12288), ('spelled', 8216), ('spelled', 8217), ('spelled', 8220),
@@ -555,9 +558,9 @@ def text_characters(spark, sf_dir):
   ('spelled', 8233), ('spelled', 8482))
 SELECT lang, kind, printf('U+%04X', code) AS character, cast(sum(length(text) - length(replace(text, chr(code), ''))) AS BIGINT) AS n, count(*) AS n_texts
 FROM documents CROSS JOIN v WHERE contains(text, chr(code)) GROUP BY ALL""")
-def text_characters_all(spark, sf_dir):
-    """AGG-17, TXT-05: occurrences of every problem character per language, by code point."""
-    return maintain.character_issues(table(spark, sf_dir, "documents"), "text", "lang")
+def text_characters(spark, sf_dir):
+    """AGG-17, SRT-07, TXT-05: occurrences of every problem character per language, by code point."""
+    return maintain.character_issues(table(spark, sf_dir, "documents"), "text", "lang").orderBy(F.desc("n"), "character", "lang")
 
 
 @query()

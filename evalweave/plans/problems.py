@@ -133,7 +133,46 @@ h AS ({_members("SELECT * FROM g", "x")} UNION ALL SELECT *, x, 0 FROM g WHERE j
 antibiotics AS (SELECT gt_id, p AS parent_path, p || '.a' || row_number() OVER (PARTITION BY gt_id, p ORDER BY o) AS node_path, {_json_name("Name")} AS node_name FROM (SELECT gt_id, p, o, m AS b FROM h))
 """
 
+# Problem 1 from tokens: names are runs of tokens, and what cuts a value is told by the tokens before it.
+_SEP = r",;|&/+、，；·•\t\r\n"
+_TOKEN = rf"\([^()]*\)|\[[^\[\]]*\]|[{_SEP}\s\p{{Z}}]+|[\p{{L}}\p{{N}}]+|(?s:.)"
+_QUOTE = '"“”„‟«»‹›'
+_VALUES = rf"""
+WITH d AS (SELECT DISTINCT gt_id, gt_json AS j FROM gt_records WHERE gt_json IS NOT NULL),
+f AS (SELECT gt_id, CASE WHEN json_valid(j) THEN j ELSE regexp_replace(j, ',(\s*[}}\]])', '\1', 'g') END AS j FROM d),
+v AS (SELECT gt_id, json_extract(j, '$.isolates_with_linking') AS l, json_extract(j, '$.no_isolates_only_assayinformation') AS o FROM f WHERE json_valid(j)),
+bodies AS (SELECT gt_id, 'iwl' AS section_name, row_number() OVER (PARTITION BY gt_id ORDER BY t.id)::INTEGER AS isolate_pos, t.value AS b FROM v, json_each(l) t WHERE json_type(l) IN ('ARRAY', 'OBJECT')
+  UNION ALL SELECT gt_id, 'nioai', 0, o FROM v),
+fields AS (SELECT gt_id, section_name, isolate_pos, field_name, json_extract(b, '$.' || field_name) AS x FROM bodies, (VALUES ('ast_data'), ('amr')) n(field_name) WHERE json_type(b) = 'OBJECT'),
+parts AS (SELECT *, 1 AS part, json_extract_string(x, '$') AS s FROM fields WHERE json_type(x) = 'VARCHAR'
+  UNION ALL SELECT p.*, t.id, json_extract_string(t.value, '$') FROM fields p, json_each(p.x) t WHERE json_type(p.x) = 'ARRAY' AND json_type(t.value) = 'VARCHAR'
+    AND NOT list_has_any(list_transform(from_json(p.x, '["JSON"]'), lambda m: json_type(m)), ['OBJECT', 'ARRAY'])),
+marked AS (SELECT * EXCLUDE (x, s), regexp_replace(regexp_replace(regexp_replace(s, '[{_QUOTE}]', chr(1), 'g'), '(^|[\s\p{{Z}}{_SEP}])''([^\s''])', '\1' || chr(1) || '\2', 'g'), '([^\s''(])''($|[\s\p{{Z}}{_SEP}])', '\1' || chr(1) || '\2', 'g') AS m FROM parts),
+pieces AS (SELECT * EXCLUDE (m), string_split(m, chr(1)) AS ps FROM marked),
+piece AS (SELECT * EXCLUDE (ps), len(ps) AS n_pieces, unnest(range(len(ps))) AS k, unnest(ps) AS piece FROM pieces),
+toks AS (SELECT *, k % 2 = 1 AND k < n_pieces - 1 AS literal, regexp_extract_all(piece, '{_TOKEN}') AS t FROM piece),
+names AS (SELECT DISTINCT lower(trim(n)) AS n, regexp_extract_all(lower(trim(n)), '{_TOKEN}') AS t FROM (SELECT unnest([abbrev, full_name]) AS n FROM legend) WHERE trim(n) <> ''),
+single AS (SELECT * EXCLUDE (t), unnest(range(1, len(t) + 1)) AS i, unnest(t) AS w, t FROM toks WHERE NOT literal),
+starts AS (SELECT s.gt_id, section_name, isolate_pos, field_name, part, k, i, max(len(names.t)) AS n FROM single s JOIN names ON lower(w) = names.t[1] AND list_transform(s.t[i:i + len(names.t) - 1], lambda z: lower(z)) = names.t GROUP BY ALL),
+kept AS (SELECT * FROM starts a WHERE NOT EXISTS (SELECT 1 FROM starts b WHERE b.gt_id = a.gt_id AND b.section_name = a.section_name AND b.isolate_pos = a.isolate_pos AND b.field_name = a.field_name AND b.part = a.part AND b.k = a.k AND b.i < a.i AND b.i + b.n > a.i)),
+tokens AS (
+  SELECT gt_id, section_name, isolate_pos, field_name, part, k, 0 AS i, 'n' AS kind, trim(piece, ' ') AS t FROM toks WHERE literal AND trim(piece, ' ') <> ''
+  UNION ALL SELECT gt_id, section_name, isolate_pos, field_name, part, k, i, 'n', array_to_string(t[i:i + n - 1], '') FROM kept JOIN single USING (gt_id, section_name, isolate_pos, field_name, part, k, i)
+  UNION ALL SELECT gt_id, section_name, isolate_pos, field_name, part, k, i, CASE WHEN regexp_full_match(w, '(?i)(?:[{_SEP}\s\p{{Z}}]+|-|and)') THEN 's' ELSE 'w' END, w FROM single s
+    WHERE NOT EXISTS (SELECT 1 FROM kept b WHERE b.gt_id = s.gt_id AND b.section_name = s.section_name AND b.isolate_pos = s.isolate_pos AND b.field_name = s.field_name AND b.part = s.part AND b.k = s.k AND b.i <= s.i AND b.i + b.n > s.i)),
+placed AS (SELECT *, row_number() OVER w AS p FROM tokens WINDOW w AS (PARTITION BY gt_id, section_name, isolate_pos, field_name, part ORDER BY k, i)),
+seen AS (SELECT *, count(*) FILTER (kind = 'n') OVER w AS named, max(p) FILTER (kind <> 's') OVER w AS word_at, last_value(CASE WHEN kind <> 's' THEN t END IGNORE NULLS) OVER w AS word,
+  max(p) FILTER (kind = 's' AND NOT regexp_full_match(t, '[ \p{{Zs}}]*')) OVER w AS apart_at FROM placed
+  WINDOW w AS (PARTITION BY gt_id, section_name, isolate_pos, field_name, part ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cuts AS (SELECT *, sum(CASE WHEN kind = 'n' AND named > 0 AND NOT (ends_with(word, ':') AND coalesce(apart_at < word_at, true)) THEN 1 ELSE 0 END) OVER (PARTITION BY gt_id, section_name, isolate_pos, field_name, part ORDER BY p) AS g FROM seen),
+ends AS (SELECT *, min(p) FILTER (kind <> 's') OVER w AS a, max(p) FILTER (kind <> 's') OVER w AS z FROM cuts WINDOW w AS (PARTITION BY gt_id, section_name, isolate_pos, field_name, part, g)),
+items AS (SELECT gt_id, section_name, isolate_pos, field_name, part, g, regexp_replace(string_agg(t, '' ORDER BY p), '^[\s\p{{Z}}\x01]+|[\s\p{{Z}}\x01]+$', '', 'g') AS item_value FROM ends WHERE p BETWEEN a AND z GROUP BY ALL),
+found AS (SELECT gt_id, section_name, isolate_pos, field_name, row_number() OVER (PARTITION BY gt_id, section_name, isolate_pos, field_name ORDER BY part, g)::INTEGER AS item_pos, item_value FROM items WHERE item_value <> '')
+"""
+
 ORACLE = {
+    "p1_found": _VALUES + "SELECT * FROM found",
+    "p1_value_counts": _VALUES + "SELECT section_name, field_name, n_values, count(*) AS n_fields FROM (SELECT gt_id, section_name, isolate_pos, field_name, count(*) AS n_values FROM found GROUP BY ALL) GROUP BY ALL",
     **{f"p2_{t}": _JSON_NODES + f"SELECT gt_id AS root_id, parent_path, node_path, node_name FROM {t}" for t in ("isolates", "envelopes", "antibiotics")},
     "p6_found": _ORPHANS + "SELECT table_name, row_id FROM found",
     "p6_by_month": _ORPHANS + "SELECT table_name, strftime(t, '%Y-%m') AS month, count(*) AS orphans FROM found GROUP BY ALL",

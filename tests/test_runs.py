@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalweave import run
 from evalweave.functions import text
-from evalweave.operators import ast_formats, budget, items, maintain, resolve, sheets, stats
+from evalweave.operators import ast_formats, budget, feedback, items, maintain, resolve, sheets, stats
 from evalweave.sources import adapters, files, packages, sinks
 
 
@@ -189,3 +189,12 @@ def test_services(spark):
     assert got == {"1": "PMC77", "2": None}
     legend = ast_formats.legend_map(spark.createDataFrame([], "abbrev string, full_name string"))
     assert spark.range(1).select(F.size(legend)).first()[0] == 0
+
+
+def test_the_metric_of_a_prompt_search(spark):
+    good, loose = json.dumps({"category": "IWL", **GT}), json.dumps({"category": "IWOL", "isolate_without_linking": ["a"], "no_isolates_only_assayinformation": {"odd": "x"}})
+    df = spark.createDataFrame([("x", json.dumps(GT), good), ("y", json.dumps(GT), loose), ("z", json.dumps(GT), None), ("n", None, None)], "id string, g string, r string")
+    got = {r.id: r for r in feedback.assay_metric(df, "id", "g", "r", with_feedback=True).collect()}
+    assert {k: r.score for k, r in got.items()} == {"x": 1.0, "y": 0.0, "z": 0.0, "n": 0.0} and got["x"].feedback == "Extraction correct."
+    assert "not linked" in got["y"].feedback and "Unknown fields: odd" in got["y"].feedback
+    assert {r.id: r.score for r in feedback.assay_metric(df, "id", "g", "r").collect()} == {k: r.score for k, r in got.items()}
