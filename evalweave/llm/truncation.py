@@ -117,9 +117,13 @@ def training_rows(text: str, limits: list[int], seed: int) -> list[tuple[bool, l
     if not text.strip():
         return []
     rng = random.Random(seed)
-    rows = [(False, _index(features(text + rng.choice(["", "", "", " ", "\n", "\n\n  "]), limits)))]
-    pieces = [p for _ in range(_CUTS) if (p := _cut(text, rng, limits))]
-    return rows + [(True, _index(features(p, sorted({*limits, len(p)}) if rng.random() < 0.3 else limits))) for p in pieces]
+
+    def row(cut: bool, shown: str, at_limit: float) -> tuple[bool, list[int]]:
+        # cuts are often made at a limit, and whole values may have that length by chance
+        return cut, _index(features(shown, sorted({*limits, len(shown)}) if rng.random() < at_limit else limits))
+
+    rows = [row(False, text + rng.choice(["", "", "", " ", "\n", "\n\n  "]), 0.1)]
+    return rows + [row(True, p, 0.3) for _ in range(_CUTS) if (p := _cut(text, rng, limits))]
 
 
 class Classifier:
@@ -140,12 +144,14 @@ class Classifier:
         for r, ((_, found), _) in enumerate(groups):
             x[r, [column[k] for k in found]] = 1.0
         y, n = np.array([float(cut) for (cut, _), _ in groups]), np.array([float(k) for _, k in groups])
-        keep, fold = np.ones(len(groups), bool), np.arange(len(groups)) % _FOLDS
-        for _ in range(_REFITS):  # a value is judged by a fit that hasn't seen it
+        # equal rows are spread over the folds, so that a fit misses them only where there is a single one
+        share = np.array([[(int(k) + (r + f) % _FOLDS) // _FOLDS for f in range(_FOLDS)] for r, k in enumerate(n)], float)
+        keep = np.ones(len(groups), bool)
+        for _ in range(_REFITS):  # a value is judged by fits that haven't seen it
             z = np.zeros(len(groups))
             for k in range(_FOLDS):
-                others = keep & (fold != k)
-                z[fold == k] = x[fold == k] @ _newton(x[others], y[others], n[others])
+                others = keep & (n > share[:, k])
+                z += share[:, k] * (x @ _newton(x[others], y[others], (n - share[:, k])[others]))
             keep = (y > 0) | (z <= 0)
         w = _newton(x[keep], y[keep], n[keep])
         weights = np.zeros(1 << _BITS)

@@ -104,6 +104,14 @@ def test_truncation_on_held_out_values():
     assert c.score('{"a": ' + "[1, " * 200_000) > 0.5
 
 
+def test_values_of_one_shape_are_no_outliers():
+    """Whole values that all have the same features aren't taken for cut, however few samples there are."""
+    lists = ["Accessions\n" + "\n".join(f"- ZQ{k:07d}" for k in range(n)) + f"\nTotal: {n}" for n in range(4, 44)]
+    for n in (5, 40):
+        c = truncation.Classifier.fit([r for k, t in enumerate(lists[:n] + _outputs(2 * n, 8)) for r in truncation.training_rows(t, [], k)], [])
+        assert [t for t in lists if c.score(t) > 0.5] == [] and all(c.score(t[: t.rindex("\nTotal")]) > 0.5 for t in lists)
+
+
 def test_to_limit():
     assert [truncation.to_limit(n, [100, 400]) for n in (100, 99, 97, 101, 401)] == ["0", "1", "2", "9", "none"]
     assert truncation.Classifier.fit([(False, [1])], []) is None
