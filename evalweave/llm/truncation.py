@@ -39,10 +39,15 @@ _TOTAL = re.compile(r"^\s*total\s*[:=]\s*(\d+)\s*$", re.I | re.M)
 _END = re.compile(r"[.!?。！？][\"'”’»)\]]*$|[.!?]\s*\[\d+(?:[,–-]\s*\d+)*\]\.?$")
 
 
+#: Distances of this power of two and more are far from a limit, as are lengths above all limits.
+_FAR = 6
+
+
 def to_limit(length: int, limits: list[int]) -> str:
-    """How far a length is below the next of the ascending limits: 0, a power of two, or none."""
+    """How far a length is below the next of the ascending limits: 0, a power of two, or far."""
     k = bisect.bisect_left(limits, length)
-    return "none" if k == len(limits) else str((limits[k] - length).bit_length())
+    power = (limits[k] - length).bit_length() if k < len(limits) else _FAR
+    return str(power) if power < _FAR else "far"
 
 
 def features(text: str, limits: list[int]) -> list[str]:

@@ -113,7 +113,7 @@ def test_values_of_one_shape_are_no_outliers():
 
 
 def test_to_limit():
-    assert [truncation.to_limit(n, [100, 400]) for n in (100, 99, 97, 101, 401)] == ["0", "1", "2", "9", "none"]
+    assert [truncation.to_limit(n, [100, 400]) for n in (100, 99, 97, 101, 401)] == ["0", "1", "2", "far", "far"]
     assert truncation.Classifier.fit([(False, [1])], []) is None
 
 
