@@ -388,8 +388,8 @@ def test_residue():
     assert f.residue(long) is None and f.residue(long + "Please enable JavaScript to view this article.") == "notice"
 
 
-# Wordings written down before the phrases were run on them, and not fitted to since.
-_HELD_OUT = [
+# Wordings that 11 of 24 were found of at first; the single words were added after that and with these in view.
+_SEEN_WORDINGS = [
     "Technical difficulties. Please call the help desk.", "Page under construction", "Sign in with your institution to read the full article.", "To continue, switch on cookies in your browser settings.", "Ce site utilise des cookies.",
     "Diese Seite verwendet Cookies.", "Este sitio utiliza cookies.", "本网站使用cookie。", "Request failed with status code 500", "[Table 3 about here]", "{{title}}", "Your request could not be processed.", "No results found.", "Add your text here",
     "Lorem ipsum dolor sit amet.", "Session expired, please sign in again.", "You have reached your limit of free articles.", "Document not available.", "Die angeforderte Datei wurde nicht gefunden.", "El servidor no responde.",
@@ -397,9 +397,21 @@ _HELD_OUT = [
 ]
 
 
-def test_residue_of_wordings_held_out():
+# Wordings written down afterwards and run once; nothing was fitted to them.
+_HELD_OUT = [
+    "Our website is experiencing heavy traffic; try again in a few minutes.", "Invalid session. Return to login.", "You have been logged out due to inactivity.",
+    "This content is only available to subscribers.", "Enable pop-ups to open the PDF viewer.", "The PDF could not be generated.", "Server error. Our engineers have been notified.",
+    "Cookie policy | Privacy policy | Terms of use", "Your connection is not private", "Please wait while we verify your browser.", "404: nothing here", "[figure placeholder]", "<<< add methods >>>",
+    "Blah blah blah", "Text text text text", "XX isolates from YY were typed in 20ZZ.", "La page demandée n'est pas accessible.", "Debido a un error técnico, no se puede mostrar el artículo.",
+    "Aufgrund von Wartungsarbeiten ist die Seite zurzeit nicht erreichbar.", "网页正在加载，请稍候。", "请输入验证码以继续访问。", "Write your conclusion here.", "Section under revision.", "Content coming soon...",
+]
+
+
+def test_residue_of_other_wordings():
+    """What was found when it was last measured is still found: 20 of 24 and, of the ones held out, 5 of 24."""
     f = residue.Finder()
-    assert sum(f.residue(t) is not None for t in _HELD_OUT) >= 0.6 * len(_HELD_OUT)
+    assert sum(f.residue(t) is not None for t in _SEEN_WORDINGS) >= 20
+    assert sum(f.residue(t) is not None for t in _HELD_OUT) >= 5
 
 
 def test_with_residue(spark):
