@@ -34,6 +34,8 @@ MAX_SOURCES = 1000
 _GROUPS = 1024
 #: Feistel rounds.
 _ROUNDS = 6
+#: Slots, and shares of shards, that a Python worker holds at once.
+_AT_ONCE = 1 << 18
 
 
 @dataclass
@@ -125,7 +127,8 @@ class Blend:
         schema = pa.schema([("shard", pa.int64()), ("s", pa.int32()), ("k", pa.int32()), ("at", pa.int32())])
 
         def run(batches):
-            for batch in batches:
+            step = max(1, _AT_ONCE // max(1, len(shares)))
+            for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
                 shards = batch.column(0).to_numpy()
                 sizes = np.minimum(per_shard, n_slots - shards * per_shard)
                 k = np.stack([np.random.Generator(np.random.Philox(key=[seed, shard])).multinomial(n, shares) for shard, n in zip(shards.tolist(), sizes.tolist())])
@@ -157,7 +160,8 @@ class Blend:
         schema = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("source", pa.string()), ("pass", pa.int32()), ("block", pa.int64())])
 
         def run(batches):
-            for batch in batches:
+            step = max(1, _AT_ONCE // per_shard)  # a row has at most ``per_shard`` slots
+            for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
                 shard, s, k, at, first = (c.to_numpy() for c in batch.columns)
                 row = np.repeat(np.arange(len(k)), k)
                 j = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
