@@ -179,3 +179,8 @@ def orphan_fixes(fixes: DataFrame, gt: DataFrame, id_col: str) -> DataFrame:
 def of_day(tracker: DataFrame, date_col: str, day: str) -> DataFrame:
     """Rows of a tracker that were written on a day (yyyy-MM-dd), whatever time is written with it."""
     return tracker.where(F.contains(F.col(date_col).cast("string"), F.lit(day)))
+
+
+def step_counts(steps: DataFrame) -> DataFrame:
+    """How many steps each action and status has: action, status, n."""
+    return steps.groupBy("action", "status").agg(F.count(F.lit(1)).alias("n"))

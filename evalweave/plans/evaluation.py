@@ -653,20 +653,34 @@ def cleaning_plan(spark, sf_dir):
     return maintain.cleaning_plan(gt, "gt_id", "gt_json").select("gt_id", "before_hash", "after_hash", "dropped", "changed")
 
 
-@query("""WITH m AS (SELECT 'PMC' || s_suppkey AS pmcid, (['obsolete', 'golden', 'supp'])[s_suppkey % 3 + 1] AS action FROM supplier WHERE s_suppkey % 5 <> 0),
+_STEPS = """WITH m AS (SELECT 'PMC' || s_suppkey AS pmcid, (['obsolete', 'golden', 'supp'])[s_suppkey % 3 + 1] AS action FROM supplier WHERE s_suppkey % 5 <> 0),
 l AS (SELECT 'PMC' || s_suppkey AS pmcid, 'main' AS place, '/main/PMC' || s_suppkey AS path FROM supplier WHERE s_suppkey % 4 <> 0
   UNION ALL SELECT 'PMC' || s_suppkey, 'golden', '/golden/PMC' || s_suppkey FROM supplier WHERE s_suppkey % 6 = 0)
-SELECT m.pmcid, m.action, CASE WHEN a.path IS NULL THEN 'NOT_FOUND' WHEN b.path IS NOT NULL THEN 'SKIPPED' ELSE 'PLANNED' END AS status
-FROM m LEFT JOIN l a ON a.pmcid = m.pmcid AND a.place = 'main' LEFT JOIN l b ON b.pmcid = m.pmcid AND b.place = m.action""")
-def move_steps(spark, sf_dir):
-    """J-24, SRC-17, AGG-18: routed file steps with their status."""
+"""
+_STATUS = """CASE WHEN a.path IS NULL THEN 'NOT_FOUND' WHEN b.path IS NOT NULL THEN 'SKIPPED' ELSE 'PLANNED' END AS status
+FROM m LEFT JOIN l a ON a.pmcid = m.pmcid AND a.place = 'main' LEFT JOIN l b ON b.pmcid = m.pmcid AND b.place = m.action"""
+
+
+def _steps(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     pid = F.expr("'PMC' || s_suppkey").alias("pmcid")
     manifest = s.select(pid, F.expr("case when s_suppkey % 5 = 0 then 'unknown' else element_at(array(' Obsolete', 'golden', 'SUPP '), cast(s_suppkey % 3 as int) + 1) end").alias("action"))
     listing = s.where("s_suppkey % 4 <> 0").select(pid, F.lit("main").alias("place"), F.expr("'/main/PMC' || s_suppkey").alias("path"))
     listing = listing.unionByName(s.where("s_suppkey % 6 = 0").select(pid, F.lit("golden").alias("place"), F.expr("'/golden/PMC' || s_suppkey").alias("path")))
     good, _ = maintain.valid_manifest(manifest)
-    return maintain.move_plan(good, listing).select("pmcid", "action", "status")
+    return maintain.move_plan(good, listing)
+
+
+@query(_STEPS + "SELECT m.pmcid, m.action, " + _STATUS)
+def move_steps(spark, sf_dir):
+    """J-24, SRC-17: routed file steps with their status."""
+    return _steps(spark, sf_dir).select("pmcid", "action", "status")
+
+
+@query(_STEPS + "SELECT action, status, count(*) AS n FROM (SELECT m.action, " + _STATUS + ") GROUP BY ALL")
+def move_counts(spark, sf_dir):
+    """AGG-18: steps per action and status."""
+    return maintain.step_counts(_steps(spark, sf_dir))
 
 
 @query("""SELECT o_orderkey, (date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE AS first, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS last FROM orders""")

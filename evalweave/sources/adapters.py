@@ -157,3 +157,16 @@ def links(ids: DataFrame, id_col: str, fetcher: Extractor, attempts: int = 3) ->
     got = extract(asked.withColumn("url", url), "id", "url", fetcher, attempts)
     first = F.get_json_object("raw", "$.linksets[0].linksetdbs[0].links[0]")
     return got.select("id", F.when(first.isNotNull(), F.concat(F.lit("PMC"), F.regexp_extract(first, r"(\d+)", 1))).alias("linked"), "error")
+
+
+def labels(rows: DataFrame, id_col: str, text_col: str, extractor: Extractor, attempts: int = 1) -> DataFrame:
+    """The class, 1 to 3, that a model gives an article: id, label (null where the answer names none), error."""
+    got = extract(rows, id_col, text_col, extractor, attempts)
+    return got.select("id", F.regexp_extract("raw", r"\b([123])\b", 1).try_cast("int").alias("label"), "error")
+
+
+def with_attachments(texts: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Article texts followed by the texts of their attachments, each under its name: id, text. Attachments without text are left out."""
+    blocks = attachments.where("text is not null and error is null").groupBy("id").agg(F.array_sort(F.collect_list(F.concat(F.upper("name"), F.lit("\n"), F.col("text")))).alias("more"))
+    joined_up = texts.select("id", "text").join(blocks, "id", "left")
+    return joined_up.select("id", F.array_join(F.concat(F.array("text"), F.coalesce("more", F.array().cast("array<string>"))), "\n\n").alias("text"))

@@ -187,3 +187,24 @@ def legend_csv(spark: SparkSession, path: str) -> DataFrame:
 def strict_json(c: Column) -> Column:
     """JSON text as VARIANT; text that can't be read is an error, null stays null."""
     return F.parse_json(c)
+
+
+def grouped_by_name(listing: DataFrame) -> DataFrame:
+    """Files by the part of their name before the first dot: id, paths in order. In: path."""
+    id_ = F.substring_index(file_name(F.col("path")), ".", 1)
+    return listing.where(id_ != "").groupBy(id_.alias("id")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
+def supplement_sources(listing: DataFrame, ids: DataFrame) -> DataFrame:
+    """Files that belong to an id: in a folder of its name, one or two levels up, or with a name that begins with it. id, path, each once."""
+    parts = F.split("path", r"[/\\]")
+    above = lambda k: F.when(F.size(parts) > k, F.element_at(parts, -1 - k))
+    names = F.array(F.regexp_extract(file_name(F.col("path")), r"(?i)^(PMC\d+)", 1), above(1), above(2))
+    named = listing.select("path", F.explode(F.array_distinct(F.array_compact(names))).alias("n")).withColumn("n", F.upper("n"))
+    return named.join(ids.select(F.upper("id").alias("n"), "id").distinct(), "n").select("id", "path").distinct()
+
+
+def xml_texts(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
+    """path and text of a folder's XML files; ``first``: only so many, by name (that is the feature)."""
+    rows = texts(spark, folder, "*.xml")
+    return rows if first is None else rows.orderBy(file_name(F.col("path")), "path").limit(first)

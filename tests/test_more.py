@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalweave.functions import dates, normalise, text
-from evalweave.operators import accession, budget, feedback, resolve, xmltext
+from evalweave.operators import accession, budget, feedback, items, resolve, xmltext
 from evalweave.sources import adapters, files, sinks
 
 
@@ -80,3 +80,24 @@ def test_dates_and_costs(spark):
     with pytest.raises(KeyError):
         budget.pilot_cost("none", 1, 1.0)
     assert one(spark, None, accession.listed) == []
+
+
+def test_files_of_an_id(spark, tmp_path):
+    listing = spark.createDataFrame([("/m/PMC1.json",), ("/m/PMC1.backup.json",), ("/s/PMC2/a.csv",), ("/s/PMC2/sub/b.csv",), ("/s/PMC2/x/y/c.csv",), ("/s/pmc3_t.csv",), ("/s/pmc3_t.csv",), ("/s/.hidden",)], "path string")
+    assert {r.id: r.paths for r in files.grouped_by_name(listing).where("id like 'PMC1'").collect()} == {"PMC1": ["/m/PMC1.backup.json", "/m/PMC1.json"]}
+    ids = spark.createDataFrame([("PMC2",), ("PMC3",), ("PMC3",), (None,)], "id string")
+    assert sorted(tuple(r) for r in files.supplement_sources(listing, ids).collect()) == [("PMC2", "/s/PMC2/a.csv"), ("PMC2", "/s/PMC2/sub/b.csv"), ("PMC3", "/s/pmc3_t.csv")]
+    for k in (2, 1, 3):
+        (tmp_path / f"PMC{k}.xml").write_text(f"<a>{k}</a>")
+    assert [r.text for r in files.xml_texts(spark, str(tmp_path), 2).collect()] == ["<a>1</a>", "<a>2</a>"] and files.xml_texts(spark, str(tmp_path)).count() == 3
+
+
+def test_models_over_articles(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, t string")
+    answers = adapters.Replay({"a": "Class: 2 (of 3)", "b": "unclear"})
+    assert {r.id: r.label for r in adapters.labels(df, "id", "t", answers).collect()} == {1: 2, 2: None, 3: None}
+    texts = spark.createDataFrame([("x", "body"), ("y", "alone")], "id string, text string")
+    attached = spark.createDataFrame([("x", "b.csv", "2", None), ("x", "a.csv", "1", None), ("x", "c.pdf", None, "unsupported")], "id string, name string, text string, error string")
+    assert {r.id: r.text for r in adapters.with_attachments(texts, attached).collect()} == {"x": "body\n\nA.CSV\n1\n\nB.CSV\n2", "y": "alone"}
+    rows = spark.createDataFrame([(1, "amr", "x"), (1, "amr", "x"), (1, "", "u")], "doc_id int, field string, orig string")
+    assert [tuple(r) for r in items.field_values(rows).collect()] == [(1, "amr", "x")]
