@@ -106,7 +106,7 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: How many values the fold gathers before it puts them away; appending copies no more than that.
+#: How many values the fold gathers before it puts them away.
 _BATCH = 64
 
 
@@ -116,8 +116,10 @@ def split_values(text: Column, names: list[str]) -> Column:
     ``names``: the names a value can start with, in any case; a code and a colon
     may stand before one. A piece without a name belongs to the value before it.
     With no names at all, every piece between separators is a value. Null gives
-    null, blank text an empty array. The time is in proportion to the text: the
-    fold notes where values begin and end, and each is put together once.
+    null, blank text an empty array. The fold notes where values begin and end, and
+    each is put together once. Spark copies what a fold has gathered at every step,
+    so the time grows with the number of values in a text times its words: 20,000
+    values in one text take some 10 s, 80,000 some 150 s.
     """
     if len(names) > MAX_NAMES:
         raise ValueError(f"{len(names)} names; the pattern is meant for a fixed list of at most {MAX_NAMES}")
